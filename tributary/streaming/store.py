@@ -29,10 +29,12 @@ class VersionedTable:
         return f"{self.path}/CURRENT"
 
     def exists(self) -> bool:
-        return fs.exists(self.spark, self._pointer)
+        return fs.exists(self.spark, self._pointer) or fs.exists(self.spark, self._pointer + ".new")
 
     def manifest(self) -> dict:
-        return json.loads(fs.read_text(self.spark, self._pointer))
+        """A crash between removing the old pointer and renaming the new one leaves the new one complete beside it."""
+        at = self._pointer if fs.exists(self.spark, self._pointer) else self._pointer + ".new"
+        return json.loads(fs.read_text(self.spark, at))
 
     def create_if_absent(self, schema: T.StructType, key: str, partition_by: list[str] | None = None, buckets: int = 16) -> None:
         """Nothing if it is a table; an error if the folder holds other files."""
