@@ -264,14 +264,15 @@ def test_templates_catch_new_numbers_and_names(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.find_contamination(docs, bench).collect()} == want
 
 
-def test_embedding_tiles_equal_brute_force(spark):
+def test_embedding_tiles_equal_brute_force(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.standard_normal((40, 24))
     x = np.concatenate([base + r.standard_normal((40, 24)) * s for s in (0, 0, 0.2, 0.4, 0.5)]).astype(np.float32)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
     df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    for tile in (4096, 16):
+    for tile, most in ((4096, 4096), (16, 4096), (8, 6)):  # one tile; many; few, dealt over blocks
+        monkeypatch.setattr(embedding, "MAX_TILES", most)
         got = {q.vec_id: q for q in embedding.near_duplicates(df, tile=tile).collect()}
         assert [got[i].n_links for i in range(len(x))] == link.sum(1).tolist()
         assert all(got[i].component_id == got[j].component_id for i, j in np.argwhere(link)) and all(got[got[i].component_id].kept for i in got)

@@ -8,9 +8,10 @@ of its residual norms cannot reach the threshold; survivors are completed, and t
 decided by the plain formula in double precision on the original components. Every vector is compared, none sampled:
 only the split positions come from a bounded sample of ``SPLIT_ROWS`` vectors, and they affect speed alone.
 
-A task holds one tile and streams its partners; links are counted there and only a spanning forest of them leaves it,
-so a group of near copies never becomes all of its pairs. The number of tiles is at most ``MAX_TILES``, which bounds the
-tile statistics held by the driver.
+A task holds one block of a tile and streams its partners; links are counted there and only a spanning forest of them
+leaves it, so a group of near copies never becomes all of its pairs. The number of tiles is at most ``MAX_TILES``, which
+bounds the tile statistics held by the driver; a tile of more than two times ``TILE`` vectors is dealt by hash over several
+blocks, each a task's home of its own, so a task's memory doesn't grow with the input.
 
 Defined results: null or zero vectors, and those with null or non-finite components or of another dimension than most,
 link with nothing; a null id is returned with no links and a null component; repeated rows count as vectors; extra
@@ -222,6 +223,8 @@ def _compare(rotation: np.ndarray, threshold: float, steps: tuple[int, int]):
                     state = settle()
                     yield from against(state, *state[:4], state[5], True)
                 yield from against(state, ids[w], copies[w], raw[w], prepared(raw[w]), state[4].grow(len(w)), False)
+                # A partner is met once in a home: its nodes can go. Roots are the smallest nodes, so those of the home.
+                del state[4].parent[len(state[0]) :]
         if own and state is None:
             st = settle()
             yield from against(st, *st[:4], st[5], True)
@@ -241,8 +244,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = rows.withColumn("fine", F.col("fine") & (F.size("v") == d)).withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(7), "v")})
     good = rows.where("fine")
     classes = written(good.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), f"{path}/classes")
-    member = rows.select("id", "fine", "f1", "f2").join(classes.select("f1", "f2", "rep", "copies"), ["f1", "f2"], "left")
-    member = member.withColumn("rep", F.when(F.col("fine"), F.col("rep")))
     n = classes.count()
     if n:
         packed = classes.select("rep", "copies", F.transform("v", lambda x: x).alias("v"))
@@ -278,7 +279,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
         tiles = written(packed.mapInArrow(placed, "leaf int, rep long, copies long, vec binary, lead array<double>"), f"{path}/tiles")
         ends = [f(F.get("lead", F.lit(k))).alias(f"{s}{k}") for k in range(lead) for f, s in ((F.min, "lo"), (F.max, "hi"))]
-        boxes = tiles.groupBy("leaf").agg(*ends).orderBy("leaf").collect()  # one row for each tile
+        boxes = tiles.groupBy("leaf").agg(F.count("*").alias("n"), *ends).orderBy("leaf").collect()  # one row for each tile
         los = np.array([[r[f"lo{k}"] for k in range(lead)] for r in boxes])
         his = np.array([[r[f"hi{k}"] for k in range(lead)] for r in boxes])
         names, t = [r["leaf"] for r in boxes], len(boxes)
@@ -291,18 +292,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 # Each pair once, dealt evenly around the circle of tiles; the partner tile is sent to the home.
                 if j == i or 0 < (j - i) % t < t / 2 or ((j - i) % t) * 2 == t and i < j:
                     partners.setdefault(names[j], []).append(names[i])
-        pair_rows = [(int(a), int(h)) for a, hs in partners.items() for h in hs]
-        pairs = F.broadcast(spark.createDataFrame(pair_rows, "leaf int, home int"))  # bounded by MAX_TILES squared, boxes apart left out
-        work = tiles.join(pairs, "leaf").select("home", F.col("leaf").alias("tile"), "rep", "copies", "vec")
+        blocks = {r["leaf"]: -(-r["n"] // (2 * tile)) for r in boxes}
+        pair_rows = [(int(a), int(h), blocks[a], blocks[h]) for a, hs in partners.items() for h in hs]
+        pairs = F.broadcast(spark.createDataFrame(pair_rows, "leaf int, home int, own long, others long"))  # bounded by MAX_TILES squared, boxes apart left out
+        # Blocks of one tile meet once (a block goes to the homes up to its own), those of two tiles all.
+        block = F.pmod(F.xxhash64(F.lit(3), "rep"), "own")
+        upto = F.when(F.col("home") == F.col("leaf"), F.col("block")).otherwise(F.col("others") - 1)
+        number = lambda leaf, block: F.shiftleft(F.col(leaf).cast("long"), 40) + F.col(block)
+        work = tiles.join(pairs, "leaf").withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
+        work = work.select(number("home", "to").alias("home"), number("leaf", "block").alias("tile"), "rep", "copies", "vec")
         work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").sortWithinPartitions("home", F.col("tile") != F.col("home"), "tile")
         found = written(work.mapInArrow(_compare(rotation, threshold, steps_of(np.sort(values)[::-1])), "a long, b long, links long"), f"{path}/found")
     else:
         found = spark.createDataFrame([], "a long, b long, links long")
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("links = 0").select("a", "b"), f"{path}/components").withColumnRenamed("node", "rep")
-    out = member.join(counts, "rep", "left").join(comps, "rep", "left")
-    comp = F.coalesce("component", "rep", "id")
-    links = F.when(F.col("rep").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
+    # What holds for a class is joined per class; the rows then join it once, in a join that adaptive execution can split.
+    known = classes.select("f1", "f2", "rep", "copies").join(counts, "rep", "left").join(comps, "rep", "left")
+    known = written(known.select("f1", "f2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), f"{path}/known")
+    out = rows.select("id", "fine", "f1", "f2").join(known, ["f1", "f2"], "left")
+    comp = F.coalesce(F.when(F.col("fine"), F.col("component")), F.col("id"))
+    links = F.when(F.col("fine"), F.col("links")).otherwise(F.lit(0))
     return out.select(F.col("id").alias(id_col), links.cast("long").alias("n_links"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
 
 
