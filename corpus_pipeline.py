@@ -13,8 +13,10 @@ ORACLE_SQL = None
 
 
 def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``verdicts``; the join is on the id alone."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Rows of ``docs`` whose id (a null counts as one) is in ``verdicts``; the join is on the id alone, so rows that
+    repeat an id stay together."""
+    ids = verdicts.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component. Texts without words link with nothing and stay."""
+    """The document of smallest id of each component. Texts without words link with nothing and stay,
+    as do rows without an id."""
     comps = jaccard.jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL")
     path = common.scratch_dir(spark)
     return keep(docs, common.maybe_broadcast(common.written(comps.select("doc_id").distinct(), f"{path}/kept")))

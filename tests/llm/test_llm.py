@@ -255,6 +255,9 @@ def test_templates_catch_new_numbers_and_names(spark):
     clash = "If Tom has 15 apples and buys 15 kg of pears at the market for 15 dollars, how many apples does Ann have now? The end."
     got = decontam.find_contamination(spark.createDataFrame(rows(same, clash, "other words"), KIND), items).collect()
     assert [(r.doc_id, r.item_id, r.consistent) for r in got] == [(1, 1, True)]
+    exact = items.first().text
+    both = decontam.find_contamination(spark.createDataFrame(rows(f"{same} {exact}", clash), KIND), items).collect()
+    assert [(r.doc_id, r.item_id) for r in both] == [(1, 1)]  # two variants in one document clash with one another only
     # Without slots the result is plain window overlap.
     docs, bench = common.read_table(spark, "/root/testdata/sf0.01", "documents"), common.read_table(spark, "/root/testdata/sf0.01", "benchmark")
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -283,3 +286,9 @@ def test_pipeline_stages(spark):
     docs = {r.doc_id for r in common.read_table(spark, SF, "documents").collect()}
     assert set(out.doc_id) <= docs and len(set(out.doc_id)) > len(docs) / 2 and out.groupby("sequence_id").length.sum().max() <= 2048
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_filtering_stages_keep_odd_rows(spark, odd):
+    for stage, gone in ((corpus_pipeline.drop_near_duplicates, {5}), (corpus_pipeline.drop_contaminated, set())):
+        out = [r.doc_id for r in stage(spark, odd, SF).collect()]
+        assert sorted(out, key=str) == sorted([i for i in (1, 2, 3, 4, 4, 5, 6, 7, 8, None) if i not in gone], key=str)
