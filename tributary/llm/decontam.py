@@ -4,7 +4,8 @@ A text becomes a sequence of lower-cased words in which numbers, names and units
 the value kept beside them. Windows of ``window`` template words are hashed and joined with the benchmark's windows; a
 document and an item whose matched windows cover enough of the item are a candidate. Its slots are then compared: each
 value of the item must stand for one value of the document and the reverse, so a question with new numbers is caught
-while a mere likeness of form, whose slots don't map, is not.
+while a mere likeness of form, whose slots don't map, is not. The mapping must hold over all matched windows or within one
+alignment of item and document that covers enough of the item by itself.
 
 Placeholders (typed): ``#`` a number, ``@`` a run of capitalised words inside a sentence, ``%`` a unit after a number.
 A window needs at least half of its words to be literal. Items shorter than the window are one window of their own
@@ -46,7 +47,7 @@ def _windows(words: Column, canon_words: Column, length: int) -> Column:
     """Array of (pos, h) for each window of the length with enough literal words."""
     n = F.size(words)
     at = F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(length), F.slice(canon_words, i, length)).alias("h")))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.lit(length), F.slice(canon_words, i, length)).alias("h")))
 
 
 def _literal(c: Column, pos: Column, length: int) -> Column:
@@ -80,9 +81,9 @@ def find_contamination(
     def doc_words(d: DataFrame) -> DataFrame:
         return d.select(F.col(id_col).alias("id"), template(F.col(text_col)).alias("w")).where("id IS NOT NULL").withColumn("c", canon(F.col("w")))
 
-    def exploded(d: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    def exploded(d: DataFrame) -> DataFrame:
         every = F.concat(*(_windows(F.col("w"), F.col("c"), k) for k in lengths)) if len(lengths) > 1 else _windows(F.col("w"), F.col("c"), lengths[0])
-        return d.select("id", *keep, F.explode(every).alias("x")).select("id", *keep, "x.h", "x.pos")
+        return d.select("id", "w", F.explode(every).alias("x")).select("id", "w", "x.h", "x.pos", "x.len")
 
     # Every window of every document meets the benchmark's distinct hashes; only hits go on.
     hits = written(exploded(doc_words(docs)).join(hashes, "h", "left_semi").select("id", "h").distinct(), f"{path}/hits")
@@ -94,15 +95,27 @@ def find_contamination(
     slotted = bench.where(F.exists("item_words", lambda w: w.rlike("^[#@%]"))).select("item", "h", "item_words")
     look = written(pairs.join(slotted.select("item").distinct(), "item", "left_semi").select("id", "item"), f"{path}/look")
     again = docs.join(maybe_broadcast(look.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
-    found = exploded(doc_words(again), ("w",)).join(maybe_broadcast(slotted), "h").join(look, ["id", "item"], "left_semi")
-    zipped = F.arrays_zip(F.col("item_words").alias("a"), F.slice("w", F.col("pos"), F.size("item_words")).alias("b"))
-    slot = found.select("id", "item", F.explode(F.filter(zipped, lambda z: z["a"].rlike("^[#@%]"))).alias("z"))
-    slot = slot.select("id", "item", "z.a", "z.b").distinct()
+    whole = bench.join(slotted.select("item").distinct(), "item", "left_semi").select("item", "h", "item_pos", "item_words")
+    # The words of a window are cut out before the joins, so no row carries a whole text.
+    met = exploded(doc_words(again)).select("id", "h", "pos", F.slice("w", F.col("pos"), F.col("len")).alias("words"))
+    found = met.join(maybe_broadcast(whole), "h").join(look, ["id", "item"], "left_semi")
+    cells = F.filter(F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b")), lambda z: z["a"].rlike("^[#@%]"))
+    # One alignment of item and document holds at most one row for each window of the item.
+    aligned = found.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
+        F.size(F.collect_set("h")).alias("here"), F.array_distinct(F.flatten(F.collect_list(cells))).alias("cells"))
+    aligned = written(aligned, f"{path}/aligned")
+    slot = aligned.select("id", "item", F.explode("cells").alias("z")).select("id", "item", "z.a", "z.b").distinct()
     firm = slot.groupBy("id", "item").agg(
         F.countDistinct("a").alias("slots"), F.count("*").alias("links"), F.countDistinct("b").alias("values"))
-    out = pairs.join(firm, ["id", "item"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
+    # A document may hold several variants of an item, whose slots clash with one another: one consistent copy is enough.
+    distinct = lambda name: F.size(F.array_distinct(F.transform("cells", lambda z: z[name])))
+    copies = aligned.join(sizes, "item").where(F.col("here") >= F.col("windows") * min_cover)
+    copies = copies.where((F.size("cells") == distinct("a")) & (F.size("cells") == distinct("b")))
+    copies = copies.select("id", "item", F.lit(True).alias("copy")).distinct()
+    out = pairs.join(firm, ["id", "item"], "left").join(copies, ["id", "item"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
     # One value of the document for each of the item, and the reverse: as many links as values on both sides.
-    out = out.withColumn("consistent", (F.col("slots") == 0) | ((F.col("links") == F.col("slots")) & (F.col("links") == F.col("values"))))
+    one_to_one = (F.col("links") == F.col("slots")) & (F.col("links") == F.col("values"))
+    out = out.withColumn("consistent", (F.col("slots") == 0) | one_to_one | F.coalesce("copy", F.lit(False)))
     return out.where("consistent").select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "windows",
         (F.col("matched") / F.col("windows")).alias("cover"), "slots", "consistent")
