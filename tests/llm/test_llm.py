@@ -267,6 +267,18 @@ def test_templates_catch_new_numbers_and_names(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.find_contamination(docs, bench).collect()} == want
 
 
+def test_names_that_open_sentences_are_slots(spark):
+    items = ["Tom has 5 apples. Tom gives 2 apples to Ann. Tom buys 4 more apples. How many apples does Tom have now?",
+             "Tom walked 12 km on the first day. Tom rested after that and then went 7 km back home.", "Tom has 5 apples left.", "Yes please"]
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Sam has 7 apples. Sam gives 3 apples to Ann. Sam buys 4 more apples. How many apples does Sam have now?",
+             "Read this.\nSam Lee walked 13 km on the first day. Sam Lee rested after that and then went 8 km back home.",
+             "Sam has 7 apples left.", "Tom please", items.first().text.lower(),
+             "Sam has 7 apples. Sam gives 7 apples to Ann. Eve buys 7 more apples. How many apples does Sam have now?"]
+    got = decontam.find_contamination(spark.createDataFrame(rows(*texts, first=0), KIND), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_embedding_tiles_equal_brute_force(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.standard_normal((40, 24))

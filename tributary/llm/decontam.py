@@ -7,10 +7,13 @@ value of the item must stand for one value of the document and the reverse, so a
 while a mere likeness of form, whose slots don't map, is not. The mapping must hold over all matched windows or within one
 alignment of item and document that covers enough of the item by itself.
 
-Placeholders (typed): ``#`` a number, ``@`` a run of capitalised words inside a sentence, ``%`` a unit after a number.
-A window needs at least half of its words to be literal. Items shorter than the window are one window of their own
-length. Defined results: null and empty texts match nothing; repeated rows give the pair once per id; a null id never
-matches; extra columns are ignored; empty tables give an empty result.
+Placeholders (typed): ``#`` a number, ``@`` a run of capitalised words, ``%`` a unit after a number. Whether the word that
+opens a sentence is a name can't be told from its capital, so every text is read twice and like readings are compared: in
+the first such words are literal, in the second any capitalised word is a name. A pair found by either reading counts (the
+first is reported where both find it). A window needs at least half of its words to be literal, in the second reading
+``OPENED`` of them at least, so that a short item is no pattern that any sentence fits. Items shorter than the window are
+one window of their own length. Defined results: null and empty texts match nothing; repeated rows give the pair once per
+id; a null id never matches; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +30,17 @@ UNITS = (
     "minutes h hr hour hours day days week weeks month months year years mph kmh dollar dollars euro euros cent cents usd "
     "eur percent degrees"
 ).split()
+#: Least literal words of a window in the second reading.
+OPENED = 3
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 
 
-def template(text: Column) -> Column:
-    """Array of words; a slot is its placeholder followed by the value (``#12``, ``@mary smith``, ``%km``)."""
+def template(text: Column, opening: bool = False) -> Column:
+    """Array of words; a slot is its placeholder followed by the value (``#12``, ``@mary smith``, ``%km``).
+    ``opening``: capitalised words that open a sentence are names too."""
     t = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?: (\p{Lu}\p{Ll}+))?(?: (\p{Lu}\p{Ll}+))?(?![\p{L}\p{N}])", " \u0001$1\u0003$2\u0003$3 ")
+    before = r"(?<![\p{L}\p{N}])" if opening else r"(?<=[\p{Ll},;] )"
+    t = F.regexp_replace(t, before + r"(\p{Lu}\p{Ll}+)(?: (\p{Lu}\p{Ll}+))?(?: (\p{Lu}\p{Ll}+))?(?![\p{L}\p{N}])", " \u0001$1\u0003$2\u0003$3 ")
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({NUMBER})(?: ?(%|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])))?(?![\p{{L}}\p{{N}}])", " \u0002$1 \u0004$2 ")
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\u0001-\u0004.,:/]+|(?<!\d)[.,:/]+|[.,:/]+(?!\d)|\u0004(?= )", " ")
     return F.filter(F.split(F.translate(t, "\u0001\u0002\u0003\u0004", "@#_%"), " "), lambda w: w != "")
@@ -43,15 +50,27 @@ def canon(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w < "0", F.substring(w, 1, 1)).when(w.startswith("@"), F.lit("@")).otherwise(w))
 
 
-def _windows(words: Column, canon_words: Column, length: int) -> Column:
-    """Array of (pos, h) for each window of the length with enough literal words."""
-    n = F.size(words)
-    at = F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.lit(length), F.slice(canon_words, i, length)).alias("h")))
+def _readings(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(``name``, reading r, words w, canonical words c), two rows for each text that has an id."""
+    both = F.array(*(F.struct(F.lit(r).alias("r"), template(F.col(text_col), r == 1).alias("w")) for r in (0, 1)))
+    out = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(name), F.inline(both))
+    return out.withColumn("c", canon(F.col("w")))
 
 
-def _literal(c: Column, pos: Column, length: int) -> Column:
-    return F.size(F.filter(F.slice(c, pos, length), lambda w: ~w.isin("#", "@", "%"))) * 2 >= length
+def _windows(rows: DataFrame) -> DataFrame:
+    """``rows`` (with r, w, c and a window length len) with pos and hash h of each window."""
+    n = F.size("w")
+    # Positions are exploded and their windows cut out after it: as a lambda over positions this takes several times as long.
+    at = rows.select("*", F.explode(F.when(n >= F.col("len"), F.sequence(F.lit(1), n - F.col("len") + 1))).alias("pos"))
+    return at.withColumn("h", F.xxhash64("r", "len", F.slice("c", F.col("pos"), F.col("len"))))
+
+
+def _literal() -> Column:
+    """Whether the window at pos has enough literal words."""
+    words = F.slice("c", F.col("pos"), F.col("len"))
+    for slot in "#@%":
+        words = F.array_remove(words, slot)
+    return (F.size(words) * 2 >= F.col("len")) & ((F.col("r") == 0) | (F.size(words) >= OPENED))
 
 
 def find_contamination(
@@ -64,61 +83,51 @@ def find_contamination(
     item in matched windows. Only pairs with ``cover >= min_cover`` and consistent slots are returned.
     """
     spark, path = docs.sparkSession, scratch_dir(docs.sparkSession)
-    its = items.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("w")).where("item IS NOT NULL AND size(w) > 0")
-    its = its.withColumns({"c": canon(F.col("w")), "len": F.least(F.size("w"), F.lit(window))})
-    parts = [
-        its.where(F.col("len") == k).select("item", "w", "c", "len", F.explode(_windows(F.col("w"), F.col("c"), k)).alias("x"))
-        .where(_literal(F.col("c"), F.col("x.pos"), k)).select("item", "len", F.col("x.h").alias("h"), F.col("x.pos").alias("item_pos"), F.slice("w", F.col("x.pos"), k).alias("item_words"))
-        for k in range(1, window + 1)
-    ]
-    bench = parts[0]
-    for p in parts[1:]:
-        bench = bench.unionByName(p)
+    its = _readings(items, item_col, text_col, "item").withColumn("len", F.least(F.size("w"), F.lit(window))).where("len > 0")
+    bench = _windows(its).where(_literal()).select(
+        "item", "r", "len", "h", F.col("pos").alias("item_pos"), F.slice("w", F.col("pos"), F.col("len")).alias("item_words"))
     bench = written(bench.distinct(), f"{path}/bench")
     lengths = [r[0] for r in bench.select("len").distinct().collect()] or [window]  # at most ``window`` values
     hashes = maybe_broadcast(written(bench.select("h").distinct(), f"{path}/hashes"))
 
-    def doc_words(d: DataFrame) -> DataFrame:
-        return d.select(F.col(id_col).alias("id"), template(F.col(text_col)).alias("w")).where("id IS NOT NULL").withColumn("c", canon(F.col("w")))
-
     def exploded(d: DataFrame) -> DataFrame:
-        every = F.concat(*(_windows(F.col("w"), F.col("c"), k) for k in lengths)) if len(lengths) > 1 else _windows(F.col("w"), F.col("c"), lengths[0])
-        return d.select("id", "w", F.explode(every).alias("x")).select("id", "w", "x.h", "x.pos", "x.len")
+        return _windows(_readings(d, id_col, text_col, "id").withColumn("len", F.explode(F.array(*map(F.lit, lengths)))))
 
     # Every window of every document meets the benchmark's distinct hashes; only hits go on.
-    hits = written(exploded(doc_words(docs)).join(hashes, "h", "left_semi").select("id", "h").distinct(), f"{path}/hits")
-    sizes = bench.groupBy("item").agg(F.countDistinct("h").alias("windows"))
-    pairs = hits.join(maybe_broadcast(bench.select("item", "h").distinct()), "h").groupBy("id", "item").agg(F.count("*").alias("matched"))
-    pairs = pairs.join(sizes, "item").where(F.col("matched") >= F.col("windows") * min_cover)
+    hits = written(exploded(docs).select("id", "h").join(hashes, "h", "left_semi").distinct(), f"{path}/hits")
+    sizes = bench.groupBy("item", "r").agg(F.countDistinct("h").alias("windows"))
+    pairs = hits.join(maybe_broadcast(bench.select("item", "r", "h").distinct()), "h").groupBy("id", "item", "r").agg(F.count("*").alias("matched"))
+    pairs = pairs.join(sizes, ["item", "r"]).where(F.col("matched") >= F.col("windows") * min_cover)
     pairs = written(pairs, f"{path}/pairs")
     # Slots: only documents of a candidate pair whose item has slots are read again.
-    slotted = bench.where(F.exists("item_words", lambda w: w.rlike("^[#@%]"))).select("item", "h", "item_words")
-    look = written(pairs.join(slotted.select("item").distinct(), "item", "left_semi").select("id", "item"), f"{path}/look")
+    slotted = bench.where(F.exists("item_words", lambda w: w.rlike("^[#@%]"))).select("item", "r").distinct()
+    look = written(pairs.join(slotted, ["item", "r"], "left_semi").select("id", "item", "r"), f"{path}/look")
     again = docs.join(maybe_broadcast(look.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
-    whole = bench.join(slotted.select("item").distinct(), "item", "left_semi").select("item", "h", "item_pos", "item_words")
+    whole = bench.join(slotted, ["item", "r"], "left_semi").select("item", "r", "h", "item_pos", "item_words")
     # The words of a window are cut out before the joins, so no row carries a whole text.
-    met = exploded(doc_words(again)).select("id", "h", "pos", F.slice("w", F.col("pos"), F.col("len")).alias("words"))
-    found = met.join(maybe_broadcast(whole), "h").join(look, ["id", "item"], "left_semi")
+    met = exploded(again).select("id", "h", "pos", F.slice("w", F.col("pos"), F.col("len")).alias("words"))
+    found = met.join(maybe_broadcast(whole), "h").join(look, ["id", "item", "r"], "left_semi")
     cells = F.filter(F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b")), lambda z: z["a"].rlike("^[#@%]"))
     # One alignment of item and document holds at most one row for each window of the item.
-    aligned = found.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
+    aligned = found.groupBy("id", "item", "r", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
         F.size(F.collect_set("h")).alias("here"), F.array_distinct(F.flatten(F.collect_list(cells))).alias("cells"))
     aligned = written(aligned, f"{path}/aligned")
-    slot = aligned.select("id", "item", F.explode("cells").alias("z")).select("id", "item", "z.a", "z.b").distinct()
-    firm = slot.groupBy("id", "item").agg(
+    slot = aligned.select("id", "item", "r", F.explode("cells").alias("z")).select("id", "item", "r", "z.a", "z.b").distinct()
+    firm = slot.groupBy("id", "item", "r").agg(
         F.countDistinct("a").alias("slots"), F.count("*").alias("links"), F.countDistinct("b").alias("values"))
     # A document may hold several variants of an item, whose slots clash with one another: one consistent copy is enough.
     distinct = lambda name: F.size(F.array_distinct(F.transform("cells", lambda z: z[name])))
-    copies = aligned.join(sizes, "item").where(F.col("here") >= F.col("windows") * min_cover)
+    copies = aligned.join(sizes, ["item", "r"]).where(F.col("here") >= F.col("windows") * min_cover)
     copies = copies.where((F.size("cells") == distinct("a")) & (F.size("cells") == distinct("b")))
-    copies = copies.select("id", "item", F.lit(True).alias("copy")).distinct()
-    out = pairs.join(firm, ["id", "item"], "left").join(copies, ["id", "item"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
+    copies = copies.select("id", "item", "r", F.lit(True).alias("copy")).distinct()
+    out = pairs.join(firm, ["id", "item", "r"], "left").join(copies, ["id", "item", "r"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
     # One value of the document for each of the item, and the reverse: as many links as values on both sides.
     one_to_one = (F.col("links") == F.col("slots")) & (F.col("links") == F.col("values"))
     out = out.withColumn("consistent", (F.col("slots") == 0) | one_to_one | F.coalesce("copy", F.lit(False)))
-    return out.where("consistent").select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "windows",
-        (F.col("matched") / F.col("windows")).alias("cover"), "slots", "consistent")
+    # One row for a pair: of its first reading that was accepted.
+    shown = F.struct("r", "matched", "windows", (F.col("matched") / F.col("windows")).alias("cover"), "slots", "consistent")
+    out = out.where("consistent").groupBy("id", "item").agg(F.min(shown).alias("x"))
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "x.matched", "x.windows", "x.cover", "x.slots", "x.consistent")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
