@@ -10,8 +10,9 @@ alignment of item and document that covers enough of the item by itself.
 Placeholders (typed): ``#`` a number, ``@`` a run of capitalised words, ``%`` a unit after a number. Whether the word that
 opens a sentence is a name can't be told from its capital, so every text is read twice and like readings are compared: in
 the first such words are literal, in the second any capitalised word is a name. A pair found by either reading counts (the
-first is reported where both find it). A window needs at least half of its words to be literal, in the second reading
-``OPENED`` of them at least, so that a short item is no pattern that any sentence fits. Items shorter than the window are
+first is reported where both find it). A window is matched as a template if at least half of its words are literal, in the
+second reading ``OPENED`` of them at least, so that a short item is no pattern that any sentence fits. Other windows
+(sums, tables, lists of numbers) are matched with their slot values, so a verbatim copy is found. Items shorter than the window are
 one window of their own length. Defined results: null and empty texts match nothing; repeated rows give the pair once per
 id; a null id never matches; extra columns are ignored; empty tables give an empty result.
 """
@@ -58,19 +59,18 @@ def _readings(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFra
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """``rows`` (with r, w, c and a window length len) with pos and hash h of each window."""
+    """``rows`` (with r, w, c and a window length len) with pos, hash h and ``literal`` of each window: whether it has
+    enough literal words to be hashed as a template; the hash of others includes the slot values."""
     n = F.size("w")
     # Positions are exploded and their windows cut out after it: as a lambda over positions this takes several times as long.
     at = rows.select("*", F.explode(F.when(n >= F.col("len"), F.sequence(F.lit(1), n - F.col("len") + 1))).alias("pos"))
-    return at.withColumn("h", F.xxhash64("r", "len", F.slice("c", F.col("pos"), F.col("len"))))
-
-
-def _literal() -> Column:
-    """Whether the window at pos has enough literal words."""
-    words = F.slice("c", F.col("pos"), F.col("len"))
+    cut = lambda c: F.slice(c, F.col("pos"), F.col("len"))
+    words = cut("c")
     for slot in "#@%":
         words = F.array_remove(words, slot)
-    return (F.size(words) * 2 >= F.col("len")) & ((F.col("r") == 0) | (F.size(words) >= OPENED))
+    literal = (F.size(words) * 2 >= F.col("len")) & ((F.col("r") == 0) | (F.size(words) >= OPENED))
+    at = at.withColumn("literal", literal)
+    return at.withColumn("h", F.xxhash64("r", "len", "literal", F.when(F.col("literal"), cut("c")).otherwise(cut("w"))))
 
 
 def find_contamination(
@@ -79,13 +79,14 @@ def find_contamination(
 ) -> DataFrame:
     """(doc id, item id, matched, windows, cover, slots, consistent) of each contaminated pair.
 
-    ``windows``: windows of the item; ``matched``: those found in the document; ``slots``: distinct slot values of the
-    item in matched windows. Only pairs with ``cover >= min_cover`` and consistent slots are returned.
+    ``windows``: windows of the item; ``matched``: those found in the document; ``cover``: their share among all windows
+    or among those matched as templates, whichever is larger; ``slots``: distinct slot values of the item in matched
+    windows. Only pairs with ``cover >= min_cover`` and consistent slots are returned.
     """
     spark, path = docs.sparkSession, scratch_dir(docs.sparkSession)
     its = _readings(items, item_col, text_col, "item").withColumn("len", F.least(F.size("w"), F.lit(window))).where("len > 0")
-    bench = _windows(its).where(_literal()).select(
-        "item", "r", "len", "h", F.col("pos").alias("item_pos"), F.slice("w", F.col("pos"), F.col("len")).alias("item_words"))
+    bench = _windows(its).select(
+        "item", "r", "len", "h", "literal", F.col("pos").alias("item_pos"), F.slice("w", F.col("pos"), F.col("len")).alias("item_words"))
     bench = written(bench.distinct(), f"{path}/bench")
     lengths = [r[0] for r in bench.select("len").distinct().collect()] or [window]  # at most ``window`` values
     hashes = maybe_broadcast(written(bench.select("h").distinct(), f"{path}/hashes"))
@@ -95,29 +96,34 @@ def find_contamination(
 
     # Every window of every document meets the benchmark's distinct hashes; only hits go on.
     hits = written(exploded(docs).select("id", "h").join(hashes, "h", "left_semi").distinct(), f"{path}/hits")
-    sizes = bench.groupBy("item", "r").agg(F.countDistinct("h").alias("windows"))
-    pairs = hits.join(maybe_broadcast(bench.select("item", "r", "h").distinct()), "h").groupBy("id", "item", "r").agg(F.count("*").alias("matched"))
-    pairs = pairs.join(sizes, ["item", "r"]).where(F.col("matched") >= F.col("windows") * min_cover)
+    sizes = bench.groupBy("item", "r").agg(
+        F.countDistinct("h").alias("windows"), F.countDistinct(F.when(F.col("literal"), F.col("h"))).alias("templates"))
+    # New values change every window that is matched with them, so the templates also count by themselves.
+    cover = lambda n, alike: F.greatest(n / F.col("windows"), F.when(F.col("templates") > 0, alike / F.col("templates")))
+    pairs = hits.join(maybe_broadcast(bench.select("item", "r", "h", "literal").distinct()), "h").groupBy("id", "item", "r").agg(
+        F.count("*").alias("matched"), F.count_if("literal").alias("alike"))
+    pairs = pairs.join(sizes, ["item", "r"]).withColumn("cover", cover(F.col("matched"), F.col("alike"))).where(F.col("cover") >= min_cover)
     pairs = written(pairs, f"{path}/pairs")
     # Slots: only documents of a candidate pair whose item has slots are read again.
     slotted = bench.where(F.exists("item_words", lambda w: w.rlike("^[#@%]"))).select("item", "r").distinct()
     look = written(pairs.join(slotted, ["item", "r"], "left_semi").select("id", "item", "r"), f"{path}/look")
     again = docs.join(maybe_broadcast(look.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
-    whole = bench.join(slotted, ["item", "r"], "left_semi").select("item", "r", "h", "item_pos", "item_words")
+    whole = bench.join(slotted, ["item", "r"], "left_semi").select("item", "r", "h", "literal", "item_pos", "item_words")
     # The words of a window are cut out before the joins, so no row carries a whole text.
     met = exploded(again).select("id", "h", "pos", F.slice("w", F.col("pos"), F.col("len")).alias("words"))
     found = met.join(maybe_broadcast(whole), "h").join(look, ["id", "item", "r"], "left_semi")
     cells = F.filter(F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b")), lambda z: z["a"].rlike("^[#@%]"))
     # One alignment of item and document holds at most one row for each window of the item.
     aligned = found.groupBy("id", "item", "r", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
-        F.size(F.collect_set("h")).alias("here"), F.array_distinct(F.flatten(F.collect_list(cells))).alias("cells"))
+        F.size(F.collect_set("h")).alias("here"), F.size(F.collect_set(F.when(F.col("literal"), F.col("h")))).alias("alike"),
+        F.array_distinct(F.flatten(F.collect_list(cells))).alias("cells"))
     aligned = written(aligned, f"{path}/aligned")
     slot = aligned.select("id", "item", "r", F.explode("cells").alias("z")).select("id", "item", "r", "z.a", "z.b").distinct()
     firm = slot.groupBy("id", "item", "r").agg(
         F.countDistinct("a").alias("slots"), F.count("*").alias("links"), F.countDistinct("b").alias("values"))
     # A document may hold several variants of an item, whose slots clash with one another: one consistent copy is enough.
     distinct = lambda name: F.size(F.array_distinct(F.transform("cells", lambda z: z[name])))
-    copies = aligned.join(sizes, ["item", "r"]).where(F.col("here") >= F.col("windows") * min_cover)
+    copies = aligned.join(sizes, ["item", "r"]).where(cover(F.col("here"), F.col("alike")) >= min_cover)
     copies = copies.where((F.size("cells") == distinct("a")) & (F.size("cells") == distinct("b")))
     copies = copies.select("id", "item", "r", F.lit(True).alias("copy")).distinct()
     out = pairs.join(firm, ["id", "item", "r"], "left").join(copies, ["id", "item", "r"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
@@ -125,7 +131,7 @@ def find_contamination(
     one_to_one = (F.col("links") == F.col("slots")) & (F.col("links") == F.col("values"))
     out = out.withColumn("consistent", (F.col("slots") == 0) | one_to_one | F.coalesce("copy", F.lit(False)))
     # One row for a pair: of its first reading that was accepted.
-    shown = F.struct("r", "matched", "windows", (F.col("matched") / F.col("windows")).alias("cover"), "slots", "consistent")
+    shown = F.struct("r", "matched", "windows", "cover", "slots", "consistent")
     out = out.where("consistent").groupBy("id", "item").agg(F.min(shown).alias("x"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "x.matched", "x.windows", "x.cover", "x.slots", "x.consistent")
 
