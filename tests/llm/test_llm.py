@@ -284,9 +284,9 @@ def test_items_of_few_literal_words_are_matched_with_their_values(spark):
              "A train goes from one town to the next in 12 hours on 7 days. Times: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20."]
     df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     mixed = items[3].replace("12 hours on 7", "13 hours on 6").split(" Times")[0]  # its templates alone, with new values
-    texts = [*(f"Some words first. {t} And some after." for t in items), "Calculate -841880142.544 + 411128.", "Sort 12, 7, 93, 4, 55, 22, 9 in descending order.", f"{mixed} And more."]
+    texts = [*(f"Some words first. {t} And some after." for t in items), "Calculate -841880142.544 + 411128.", "Sort 12, 7, 93, 4, 55, 22, 9 in descending order.", f"{mixed} And more.", f"{mixed} Times: 1 2 3 4 5 6 7 8 9 10 11 12 13."]
     got = decontam.find_contamination(spark.createDataFrame(rows(*texts, first=0), KIND), df).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (6, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (6, 3), (7, 3)]
 
 
 def test_embedding_tiles_equal_brute_force(spark, monkeypatch):

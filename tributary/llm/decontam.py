@@ -52,23 +52,21 @@ def canon(words: Column) -> Column:
 
 
 def _readings(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """(``name``, reading r, words w, canonical words c), two rows for each text that has an id."""
+    """(``name``, reading r, words w, canonical words c, whether each is a slot s), two rows for each text that has an id."""
     both = F.array(*(F.struct(F.lit(r).alias("r"), template(F.col(text_col), r == 1).alias("w")) for r in (0, 1)))
     out = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(name), F.inline(both))
-    return out.withColumn("c", canon(F.col("w")))
+    return out.withColumns({"c": canon(F.col("w")), "s": F.transform("w", lambda w: (w < "0") | w.startswith("@"))})
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """``rows`` (with r, w, c and a window length len) with pos, hash h and ``literal`` of each window: whether it has
+    """``rows`` (with r, w, c, s and a window length len) with pos, hash h and ``literal`` of each window: whether it has
     enough literal words to be hashed as a template; the hash of others includes the slot values."""
     n = F.size("w")
     # Positions are exploded and their windows cut out after it: as a lambda over positions this takes several times as long.
     at = rows.select("*", F.explode(F.when(n >= F.col("len"), F.sequence(F.lit(1), n - F.col("len") + 1))).alias("pos"))
     cut = lambda c: F.slice(c, F.col("pos"), F.col("len"))
-    words = cut("c")
-    for slot in "#@%":
-        words = F.array_remove(words, slot)
-    literal = (F.size(words) * 2 >= F.col("len")) & ((F.col("r") == 0) | (F.size(words) >= OPENED))
+    words = F.size(F.array_remove(cut("s"), True))
+    literal = (words * 2 >= F.col("len")) & ((F.col("r") == 0) | (words >= OPENED))
     at = at.withColumn("literal", literal)
     return at.withColumn("h", F.xxhash64("r", "len", "literal", F.when(F.col("literal"), cut("c")).otherwise(cut("w"))))
 
@@ -80,8 +78,9 @@ def find_contamination(
     """(doc id, item id, matched, windows, cover, slots, consistent) of each contaminated pair.
 
     ``windows``: windows of the item; ``matched``: those found in the document; ``cover``: their share among all windows
-    or among those matched as templates, whichever is larger; ``slots``: distinct slot values of the item in matched
-    windows. Only pairs with ``cover >= min_cover`` and consistent slots are returned.
+    or among those matched as templates, whichever is larger; ``slots``: distinct slot values of the item in those
+    of its templates that matched. Only pairs with ``cover >= min_cover`` and consistent slots (or that cover by windows
+    matched with their values alone) are returned.
     """
     spark, path = docs.sparkSession, scratch_dir(docs.sparkSession)
     its = _readings(items, item_col, text_col, "item").withColumn("len", F.least(F.size("w"), F.lit(window))).where("len > 0")
@@ -105,7 +104,7 @@ def find_contamination(
     pairs = pairs.join(sizes, ["item", "r"]).withColumn("cover", cover(F.col("matched"), F.col("alike"))).where(F.col("cover") >= min_cover)
     pairs = written(pairs, f"{path}/pairs")
     # Slots: only documents of a candidate pair whose item has slots are read again.
-    slotted = bench.where(F.exists("item_words", lambda w: w.rlike("^[#@%]"))).select("item", "r").distinct()
+    slotted = bench.where(F.col("literal") & F.exists("item_words", lambda w: w.rlike("^[#@%]"))).select("item", "r").distinct()
     look = written(pairs.join(slotted, ["item", "r"], "left_semi").select("id", "item", "r"), f"{path}/look")
     again = docs.join(maybe_broadcast(look.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
     whole = bench.join(slotted, ["item", "r"], "left_semi").select("item", "r", "h", "literal", "item_pos", "item_words")
@@ -113,6 +112,7 @@ def find_contamination(
     met = exploded(again).select("id", "h", "pos", F.slice("w", F.col("pos"), F.col("len")).alias("words"))
     found = met.join(maybe_broadcast(whole), "h").join(look, ["id", "item", "r"], "left_semi")
     cells = F.filter(F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b")), lambda z: z["a"].rlike("^[#@%]"))
+    cells = F.when(F.col("literal"), cells)  # windows matched with their values agree by themselves
     # One alignment of item and document holds at most one row for each window of the item.
     aligned = found.groupBy("id", "item", "r", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
         F.size(F.collect_set("h")).alias("here"), F.size(F.collect_set(F.when(F.col("literal"), F.col("h")))).alias("alike"),
@@ -129,7 +129,8 @@ def find_contamination(
     out = pairs.join(firm, ["id", "item", "r"], "left").join(copies, ["id", "item", "r"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
     # One value of the document for each of the item, and the reverse: as many links as values on both sides.
     one_to_one = (F.col("links") == F.col("slots")) & (F.col("links") == F.col("values"))
-    out = out.withColumn("consistent", (F.col("slots") == 0) | one_to_one | F.coalesce("copy", F.lit(False)))
+    by_value = F.col("matched") - F.col("alike") >= F.col("windows") * min_cover
+    out = out.withColumn("consistent", (F.col("slots") == 0) | by_value | one_to_one | F.coalesce("copy", F.lit(False)))
     # One row for a pair: of its first reading that was accepted.
     shown = F.struct("r", "matched", "windows", "cover", "slots", "consistent")
     out = out.where("consistent").groupBy("id", "item").agg(F.min(shown).alias("x"))
