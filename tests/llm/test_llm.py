@@ -176,6 +176,17 @@ def test_chat_layouts_and_round_trip(spark):
     assert got[1].layout == "conversations" and got[1].turns[0].role == "user" and got[3].turns[0].role == "system" and got[5].layout is None
 
 
+def test_chat_turns_longer_than_a_json_string_may_be(spark):
+    long = F.when(F.col("id") == 1, F.repeat(F.lit("ab <| "), 3_500_000)).otherwise(F.lit("q"))  # 21 million characters
+    df = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 1, "assistant").otherwise("user").alias("role"), long.alias("text"))
+    got = chat.read_back(chat.format_turns(chat.turns_from_rows(df))).first()
+    assert (got.n_turns, got.loss_chars, got.layout) == (2, 21_000_000, "messages")
+    assert got.loss_sha256 == hashlib.sha256(b"ab <| " * 3_500_000).hexdigest()
+    record = F.to_json(F.struct(F.lit("q").alias("prompt"), F.repeat(F.lit("ab"), 10_500_000).alias("completion")))
+    records = spark.range(1).select(record.alias("record")).unionAll(spark.createDataFrame([('{"prompt": "q", "completion": "a"}',), (None,)], "record string"))
+    assert [r.unread for r in chat.canonical_turns(records).select("unread").collect()] == [True, False, False]
+
+
 def test_toxicity_is_learned(spark):
     docs, labels = common.read_table(spark, "/root/testdata/sf0.1", "documents"), common.read_table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit_model(docs, labels)

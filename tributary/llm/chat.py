@@ -9,6 +9,9 @@ Canonical turns are then laid out by a template. Its control strings all begin w
 
 Defined results: null text and role are empty; turns are ordered by (turn, role, text) with null turns first; repeated
 rows are turns of their own; rows with a null conversation id form one conversation; extra columns are ignored.
+Rows that are turns already (role and text columns) become their turns directly, under the fingerprint of ``messages``.
+Foreign records are parsed as a variant: JSON that isn't null and gives none (malformed, over 128 MiB as a variant, or a
+string of over 20 million characters) has ``unread`` true and no layout, fingerprint or turns.
 One conversation is one output row, so its turns meet in one task: that is the unit of the result.
 """
 
@@ -86,7 +89,8 @@ def _turn_of(lay: Layout):
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """JSON records of any known layout with ``layout``, ``fingerprint`` and ``turns`` (array of role, text)."""
+    """JSON records of any known layout with ``layout``, ``fingerprint``, ``turns`` (array of role, text) and ``unread``:
+    whether there is a record that couldn't be parsed."""
     v = F.try_parse_json(json_col)
     out = records.withColumn("__v", v).withColumn("__paths", variant_paths(F.col("__v")))
     out = out.withColumn("fingerprint", fingerprint(F.col("__paths")))
@@ -100,7 +104,8 @@ def canonical_turns(records: DataFrame, json_col: str = "record", layouts: tuple
             one = [F.struct(F.lit(r).alias("role"), F.try_variant_get("__v", f"$.{p}", "string").alias("text")) for r, p in lay.singles]
             made = F.filter(F.array(*one), lambda x: x.text.isNotNull())
         name, turns = F.when(mine, lay.name).otherwise(name), F.when(mine, made).otherwise(turns)
-    return out.withColumns({"layout": name, "turns": turns}).drop("__v", "__paths")
+    unread = F.col(json_col).isNotNull() & F.col("__v").isNull()
+    return out.withColumns({"layout": name, "turns": turns, "unread": unread}).drop("__v", "__paths")
 
 
 def escape(text: Column) -> Column:
@@ -146,6 +151,17 @@ def records_from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn"
     return rows.groupBy(F.col(conv).alias("conv_id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
 
+def turns_from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``conv_id``, ``fingerprint``, ``layout`` and ``turns`` of each conversation, its rows in order; no JSON in between."""
+    ordered = F.array_sort(F.collect_list(F.struct(
+        F.coalesce(F.col(turn).cast("long"), F.lit(-(2**63))).alias("t"), F.coalesce(role, F.lit("")).alias("role"),
+        F.coalesce(text, F.lit("")).alias("text"))))
+    turns = F.transform(ordered, lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
+    lay = LAYOUTS[0]
+    return rows.groupBy(F.col(conv).alias("conv_id")).agg(turns.alias("turns")).select(
+        "conv_id", fingerprint(F.array(*map(F.lit, lay.paths))).alias("fingerprint"), F.lit(lay.name).alias("layout"), "turns")
+
+
 def read_back(df: DataFrame) -> DataFrame:
     """Digests of what the formatted text and its loss mask say."""
     masked = F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescape(s.text))
@@ -167,7 +183,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return read_back(format_turns(canonical_turns(records_from_rows(rows.unionByName(probe)))))
+    return read_back(format_turns(turns_from_rows(rows.unionByName(probe))))
 
 
 SQL = r"""
