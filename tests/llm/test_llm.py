@@ -196,6 +196,23 @@ def test_toxicity_is_learned(spark):
     assert [w for w in toxicity.window_starts(80)] == [0, 24, 48] and toxicity.window_starts(5) == [0]
 
 
+def test_toxicity_schedule_does_not_depend_on_input_size(monkeypatch):
+    learned = []
+    monkeypatch.setattr(toxicity, "forward", lambda p, xp, ids, keep=False: (np.zeros(len(ids), np.float32), None) if keep else np.zeros(len(ids), np.float32))
+
+    def backward(p, ids, kept, dlogit):
+        learned.append(len(ids))
+        return {k: np.zeros_like(p[k]) for k in ("wo", "bo", "va", "wa", "u")}, np.zeros((2, *ids.shape, 3 * toxicity.H), np.float32)
+
+    monkeypatch.setattr(toxicity, "backward", backward)
+    for words in (100, 50_000):  # 40 and 20,830 windows to learn from
+        learned.clear()
+        toxicity.train([("a b c d " * (words // 4), i % 2) for i in range(12)], 0.5)
+        fit = 10 * len(toxicity.window_starts(words))
+        loud = 4 * 2 + 6 * 4  # two windows of a toxic document, four of a clean one
+        assert sum(learned) == 6 * fit + 20 * loud
+
+
 def test_toxicity_gradients():
     p = {k: v.astype(np.float64) for k, v in toxicity.init(3).items()}
     r = np.random.default_rng(0)
