@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -41,6 +45,35 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole text; False, and nothing changed, where it exists already.
+
+    Written beside and moved by an operation that fails on an existing target (a hard link on local disks, a rename
+    without overwriting elsewhere), so of two writers one wins and no reader sees a part.
+    """
+    fs, p = _at(spark, path)
+    jvm = spark._jvm
+    side = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(side, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(side.toUri().getPath(), p.toUri().getPath())
+        else:
+            no_overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(side, p, no_overwrite)
+    except (FileExistsError, Py4JJavaError):
+        if not fs.exists(p):
+            raise
+        return False
+    finally:
+        fs.delete(side, False)
+    return True
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Written beside and renamed, so a reader sees the old or the new text."""
     fs, p = _at(spark, path)
