@@ -133,6 +133,46 @@ def test_line_runs_merge_and_compact(spark):
         assert out[k].text == want == one[k]
 
 
+def test_line_runs_are_merged_without_exchange_or_sort(spark):
+    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents")
+    lines = line_dedup.line_hashes(docs, "doc_id", "text", 20).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(5)))
+    want = {(r.h1, r.h2): (r.n, r.top) for r in line_dedup.key_counts(lines).collect()}
+    path = common.scratch_dir(spark)
+    for k in range(5):  # every batch in runs that were opened anew
+        runs = line_dedup.LineRuns.open(spark, path)
+        assert runs.version == k
+        runs.add(line_dedup.key_counts(lines.where(F.col("part") == k)))
+        runs.close()
+    runs = line_dedup.LineRuns.open(spark, path)
+    assert sorted(map(len, runs.levels)) == [0, 1, 1] and sum(r.count() for r in runs.runs()) == len(want)  # 5 batches: levels 0 and 2
+    runs.increments.append(runs._write(line_dedup.key_counts(lines)))
+    batch = spark.table(runs.increments[-1])
+    with line_dedup.ordered_scans(spark):
+        plan = runs.unseen(batch, runs.runs())._jdf.queryExecution().executedPlan().toString()
+        assert runs.unseen(batch, runs.runs()).count() == 0
+    assert plan.count("SortMergeJoin") == 2 and plan.count("LeftAnti") == 2 and "Exchange" not in plan and "Sort [" not in plan
+    runs._gone([runs.increments.pop()])
+    got = {(r.h1, r.h2): r.top for r in runs.shared(3, f"{path}/shared").collect()}
+    assert got == {k: top for k, (n, top) in want.items() if n >= 3}
+    runs.drop()
+
+
+def test_line_dedup_counts_documents_and_keeps_unshared_lines(spark):
+    shared, own = "a line that is long enough to count", "a precious line of its own, number"
+    odd = [(1, shared), (1, shared), (2, shared), (None, f"{shared}\n{own} 1"), (None, f"{own} 2\n{own} 3"), (3, None), (4, "")]
+    df = lambda t: spark.createDataFrame([(i, x, 9, 8) for i, x in t], "doc_id long, text string, n_lines int, t1 int")
+    read = lambda t: sorted(((r.doc_id, r.text, r.n_dropped, r.t1) for r in line_dedup.dedup_lines(df(t)).collect()), key=str)
+    # Documents 1, 2 and the unnamed one: three in all, and 2 is the largest.
+    want = [(1, "", 1, 8), (1, "", 1, 8), (2, shared, 0, 8), (None, f"{own} 1", 1, 8), (None, f"{own} 2\n{own} 3", 0, 8), (3, "", 0, 8), (4, "", 0, 8)]
+    assert read(odd) == sorted(want, key=str)
+    assert [x[1] for x in read([(1, shared), (1, shared), (2, shared)])] == [shared] * 3  # two documents only
+    assert read([]) == [] and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    names = spark.createDataFrame([(i, f"{shared}\n{i}") for i in "abc"], "doc_id string, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(names).collect()} == {"a": 1, "b": 1, "c": 0}
+    long = spark.createDataFrame([(i, "\n".join(f"{shared} {j % 7} {i if j % 50 else ''}" for j in range(40_000))) for i in range(3)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(long).collect()} == {0: (40_000, 800), 1: (40_000, 800), 2: (40_000, 0)}
+
+
 def test_packing(spark):
     for seed in range(3):
         r = np.random.default_rng(seed)
