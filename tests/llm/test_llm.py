@@ -89,12 +89,57 @@ def test_pii_surrogates(spark):
     assert pii.replace_pii(spark.createDataFrame(rows(t), KIND), b"other").first().text != a
 
 
-def test_pii_collisions_are_drawn_again(spark, tmp_path, monkeypatch):
-    names = [f"s:latin:n{i:04d}" for i in range(60)] + ["000-00-0001"]
-    ent = spark.createDataFrame([("person", n) for n in names[:60]], "kind string, norm string")
-    moved = {r.norm: r.attempt for r in pii.exceptions(ent, b"k", f"{tmp_path}/x").collect()}
-    final = [pii.surrogate(b"k", "person", n, moved.get(n, 0)) for n in names[:60]]
-    assert len(set(final)) == 60 and not set(final) & set(names)
+def test_pii_names_corefer_keep_their_gender_and_differ(spark, tmp_path):
+    t = ["Dr John Smith met Mr John Smith. Mr. John and JOHN SMITH, later Smith.", "Mrs Maria and Mr Paul, Maria again. Prof Kim and Mrs Kim Lee.", "Smith without a title. \u0438\u0432\u0430\u043d@mail.ru, j\u00fcrgen@post.de, fe80:0:0:0:1:2:3:4, 2001:db8::ff00:42:8329, 030 123456."]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows(*t), KIND), b"key").collect()}
+    w = re.findall(r"\w+", out[1].text)  # Dr J S met Mr J S Mr J and J S later S
+    john, smith = w[1], w[2]
+    assert w == ["Dr", john, smith, "met", "Mr", john, smith, "Mr", john, "and", john.upper(), smith.upper(), "later", smith]
+    ends = {g: tuple(pii.SYLLABLES["latin"][1][g]) for g in "mf"}
+    maria, paul = re.match(r"Mrs (\w+) and Mr (\w+), \1 again", out[2].text).groups()
+    assert john.endswith(ends["m"]) and paul.lower().endswith(ends["m"]) and maria.endswith(ends["f"])
+    assert out[3].text.startswith("Smith without a title.") and out[3].n_entities == 5
+    for said in ("\u0438\u0432\u0430\u043d", "mail", "j\u00fcrgen", "fe80", "db8", "123456"):
+        assert said not in out[3].text
+    # Thousands of short names share few short forms: no two visible names are equal and none is real.
+    names = spark.range(5000).select(F.concat(F.lit("latin:"), F.conv(F.col("id") + 50_000, 10, 36)).alias("name"), F.element_at(F.array(*map(F.lit, "mfn")), (F.col("id") % 3 + 1).cast("int")).alias("gender"))
+    got = pii.settle(names.unionAll(spark.createDataFrame([("latin:baban", "m")], names.schema)), b"k", f"{tmp_path}/x").collect()
+    assert len(got) == 5001 == len({r.new for r in got}) and not {r.new for r in got} & {r.name[6:] for r in got} and any(r.attempt for r in got)
+
+
+def test_pii_formats_are_permuted_one_to_one():
+    for n in (2, 3, 26, 1000, 9999):
+        p = pii.Permutation(b"k", "x", n)
+        got = [p(i) for i in range(n)]
+        assert sorted(got) == list(range(n)) and all(x != i for i, x in enumerate(got))
+    quads = [".".join(f"{i:04d}") for i in range(10_000)]  # the whole space of a format
+    assert sorted(pii.surrogate_value(b"k", "ip", x) for x in quads) == quads
+    cards = [f"{4000_0000_0000_0000 + i:d}" for i in range(2000)]
+    new = [pii.surrogate_value(b"k", "card", x) for x in cards]
+    valid = lambda x: pii.luhn([int(c) for c in x]) == 0
+    assert len(set(new)) == 2000 and [valid(x) for x in new] == [valid(x) for x in cards]
+
+
+def test_pii_query_against_brute_force(spark):
+    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents")
+    old, new = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r for r in pii.op1_pii_surrogates(spark, "/root/testdata/sf0.01").collect()}
+    assert set(old) == set(new)
+    stands, entities = {}, 0
+    for i, text in old.items():
+        found, _ = pii.find(text)
+        assert new[i].n_entities == len(found)
+        at, shift = 0, 0
+        for a, b, kind, norm in found:  # what stands between entities is unchanged, so it marks where a surrogate ends
+            rest = text[b : next((x for x, *_ in found if x > a), len(text))]
+            assert new[i].text[a + shift - (a - at) : a + shift] == text[at:a]
+            size = b - a if kind != "person" else re.compile(r"\w+").match(new[i].text, a + shift).end() - a - shift
+            got = new[i].text[a + shift : a + shift + size]
+            assert got.lower() != text[a:b].lower() and new[i].text.startswith(rest, a + shift + size)
+            stands.setdefault((kind, norm), set()).add(got.lower() if kind == "person" else pii.normal(kind, got))
+            at, shift, entities = b, shift + size - (b - a), entities + 1
+    assert entities > 50 and all(len(x) == 1 for x in stands.values())  # one surrogate an entity
+    assert len({(k, *x) for (k, _), x in stands.items()}) == len(stands)  # and none shared
+    assert not {(k, *x) for (k, _), x in stands.items()} & {(k, n.split(":")[-1] if k == "person" else n) for k, n in stands}
 
 
 def test_secret_spans_equal_the_base_patterns(spark):
@@ -357,6 +402,34 @@ def test_items_of_few_literal_words_are_matched_with_their_values(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (6, 3), (7, 3)]
 
 
+def test_long_quotes_of_longer_items_are_found(spark):
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    item = words(300).split()
+    texts = [f"{words(20)} {' '.join(item[a : a + n])} {words(20)}" for a, n in ((0, 50), (100, 80), (250, 50), (30, 40), (120, 49))]
+    got = decontam.find_contamination(spark.createDataFrame(rows(*texts, first=0), KIND), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2]
+
+
+def test_generated_templates_of_every_slot_kind(spark):
+    """Generated items with numbers, names and units: every consistent re-parameterisation is found and no clashing one."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    name = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)).capitalize()
+    items, good, bad = [], [], []
+    for _ in range(30):
+        names, numbers, units = [name() for _ in range(2)], r.sample(range(10, 99), 3), r.sample(["km", "hours", "dollars"], 2)
+        form = f"If {{a}} {word()} {{x}} {{u}} {word()} and {word()} {{y}} {{v}} {word()}, then {{b}} {word()} {word()} the {{z}} {word()} {word()}. {{a}} {word()} {{x}} {word()} with {{b}} {word()}?"
+        fill = lambda n, k, u: form.format(a=n[0], b=n[1], x=k[0], y=k[1], z=k[2], u=u[0], v=u[1])  # noqa: B023, E731
+        items.append(fill(names, numbers, units))
+        new, other = r.sample(range(100, 999), 3), r.sample(["kg", "weeks", "euros"], 2)
+        good.append(f"{word()} {word()}. {fill([name(), name()], new, other)} {word()}")
+        bad.append(fill([names[0]] * 2, [new[0]] * 3, [other[0]] * 2))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.find_contamination(spark.createDataFrame(rows(*good, *bad, first=0), KIND), table).collect()}
+    assert got == {(i, i) for i in range(30)}
+
+
 def test_embedding_tiles_equal_brute_force(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.standard_normal((40, 24))
