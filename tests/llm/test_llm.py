@@ -316,7 +316,7 @@ def test_toxicity_gradients():
         assert abs((up - down) / (2 * e) - g[name][at]) < 2e-2 * max(1, abs(g[name][at]))
 
 
-def test_signature_tree_equals_brute_force(spark):
+def test_signature_tree_equals_brute_force(spark, monkeypatch):
     r = random.Random(6)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -342,8 +342,9 @@ def test_signature_tree_equals_brute_force(spark):
                 a, b = sorted((find(i), find(j)))
                 comp[b] = a
     df = spark.createDataFrame(rows(*texts), KIND)
-    for block in (8_000_000, 120):  # also groups cut into sub-blocks
-        got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(df, block_shingles=block).collect()}
+    for page in (256, 3):  # one page a block; blocks of many pages on shelves
+        monkeypatch.setattr(jaccard, "PAGE", page)
+        got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(df).collect()}
         assert got == {i + 1: find(i) + 1 for i in range(len(sets))}
     hashed = [np.array(sorted(int.from_bytes(hashlib.blake2b(repr(g).encode(), digest_size=8).digest(), "big") for g in s), np.uint64) for s in sets]
     tree = jaccard.SignatureTree(hashed)
@@ -351,6 +352,45 @@ def test_signature_tree_equals_brute_force(spark):
     assert len(tree.members) == len({find(i) for i in range(len(sets))}) and tree.compared < len(sets) ** 2 / 8
 
 
+def test_groups_of_near_copies_over_many_pages(spark, monkeypatch):
+    """A large group of near copies, docs that share most words with it but don't link, copies of a copy, and repeated rows."""
+    monkeypatch.setattr(jaccard, "PAGE", 16)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(80)]
+    near = [" ".join([*base[: 5 + i % 70], word(), *base[6 + i % 70 :]]) for i in range(150)]
+    far = [" ".join([*base[: 80 - 12], *(word() for _ in range(12))]) for _ in range(40)]
+    texts = [*near, *far, near[3].upper(), near[3], " ".join(base[:30])]
+    df = spark.createDataFrame([*rows(*texts), rows(*texts)[7], (None, near[0], *[None] * 9), (5, "another text of document five", *[None] * 9)], KIND)
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    comp = list(range(len(sets)))
+    for _ in range(3):
+        for i, x in enumerate(sets):
+            for j in range(i):
+                c = len(x & sets[j])
+                if 100 * c >= 80 * (len(x) + len(sets[j]) - c):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = [(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(df).collect()]
+    want = [(i + 1, len(x), comp[i] + 1) for i, x in enumerate(sets)]
+    assert sorted(got, key=str) == sorted([*want, want[7], (None, len(sets[0]), None), (5, 1, comp[4] + 1)], key=str)
+
+
+def test_routing_keeps_every_linked_pair(spark):
+    """Any two sets that link share a routing shingle, also where hashes are cut short."""
+    r = random.Random(9)
+    docs = [[r.choice("abcdefgh") + r.choice("abcdefgh") for _ in range(r.randint(5, 60))] for _ in range(60)]
+    texts = [" ".join(d[: r.randint(5, len(d))] + (["x"] if r.random() < 0.5 else [])) for d in docs for _ in range(3)]
+    df = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "id long, text long, said binary").repartition(5)
+    chunks = common.written(df.mapInArrow(jaccard._chunks(5), jaccard.CHUNK_DDL), common.scratch_dir(spark))
+    none = spark.createDataFrame([], "chunk long, pos int")
+    routed = {}
+    for x in jaccard.routes(chunks, none, 100, 80).collect():
+        routed.setdefault(x.id, set()).add(x.shingle)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(linked) > 20 and all(routed[i] & routed[j] for i, j in linked)
+
+
 def test_token_counts_equal_the_library():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
