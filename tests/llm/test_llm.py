@@ -163,6 +163,49 @@ def test_grammar_inference_adds_bare_credentials(spark):
     assert len(set(hits) & set(bare)) >= 18 and set(hits) <= set(bare)
 
 
+def test_secret_query_equals_brute_force(spark):
+    """Counts and digests of the query, from texts read with the plain patterns."""
+    texts = {r.doc_id: r.text or "" for r in common.read_table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
+             ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+    for r in secrets.op2_secret_scan(spark, "/root/testdata/sf0.01").collect():
+        want = sorted((m.start(), i, m.end()) for i, (_, p, g, n) in enumerate(kinds) for m in p.finditer(texts[r.doc_id]) if len(m[g]) >= n)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(i == k for _, i, _ in want) for k in range(3)]
+        said = ",".join(f"{kinds[i][0]}:{a}:{b}" for a, i, b in want)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) <= {*r.spans.split(","), ""}
+
+
+def test_bare_credentials_among_ordinary_tokens(spark):
+    """Precision and recall of the added spans over real prose with planted credentials and look-alikes."""
+    r = random.Random(12)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    upper, alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = [lambda: "sk-" + pick(upper, 28), lambda: "ghp_" + pick(alnum, 36), lambda: pick(alnum, 14)]
+    prose = [x.text for x in common.read_table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect() if x.text and len(x.text) < 4000][:400]
+    like = lambda: r.choice([f"{pick('0123456789', 16)}", "mail.example.com/path/of-the-page", "2024-01-15T10:30:00", "international", "DE89370400440532013000", "InternalServerError", "alice.smith", "snake_case_name"])
+    texts, planted = [], {}
+    for i, t in enumerate(prose):
+        words = t.split(" ")
+        if i % 2:
+            words.insert(len(words) // 2, f"api_key={forms[i % 3]()}")
+        elif i % 4 == 0:
+            planted[i + 1] = forms[i // 4 % 3]()
+            words.insert(len(words) // 3, f"{like()} {planted[i + 1]} {like()}")
+        else:
+            words.insert(len(words) // 3, f"{like()} {like()} {like()}")
+        texts.append(" ".join(words))
+    added = [(x.doc_id, s.value) for x in secrets.scan_secrets(spark.createDataFrame(rows(*texts), KIND)).collect() for s in x.spans if s.kind.startswith("auto")]
+    right = len(set(added) & set(planted.items()))
+    assert right >= 0.9 * len(planted) and right >= 0.9 * len(added)
+
+
+def test_tokens_are_counted_and_cut(spark):
+    assert secrets.candidates("a.b aaaaaaaa. ..bbbbbbbb x=cccccccc", [(25, 0, 30, "")]) == [(4, "aaaaaaaa"), (16, "bbbbbbbb")]
+    seen = secrets.triples(["ab9", "ab"])
+    at = lambda t: seen[tuple(secrets.SYMBOLS.index(c) for c in t)]
+    assert seen.sum() == 7 and at("^^h") == 2 and at("hh9") == 1 and at("hh$") == 1 and at("h9$") == 1 and at("^hh") == 2
+
+
 def test_line_runs_merge_and_compact(spark):
     r = random.Random(1)
     lines = [f"a line of common words number {i}" for i in range(30)]
@@ -381,10 +424,10 @@ def test_routing_keeps_every_linked_pair(spark):
     docs = [[r.choice("abcdefgh") + r.choice("abcdefgh") for _ in range(r.randint(5, 60))] for _ in range(60)]
     texts = [" ".join(d[: r.randint(5, len(d))] + (["x"] if r.random() < 0.5 else [])) for d in docs for _ in range(3)]
     df = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "id long, text long, said binary").repartition(5)
-    chunks = common.written(df.mapInArrow(jaccard._chunks(5), jaccard.CHUNK_DDL), common.scratch_dir(spark))
+    table = jaccard.counted(df, 5, common.scratch_dir(spark))
     none = spark.createDataFrame([], "chunk long, pos int")
     routed = {}
-    for x in jaccard.routes(chunks, none, 100, 80).collect():
+    for x in jaccard.routes(table, none, 80).collect():
         routed.setdefault(x.id, set()).add(x.shingle)
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]

@@ -1,35 +1,47 @@
 """Secret scan with grammar inference.
 
 Base patterns give labelled credentials. For each kind a probabilistic automaton is inferred from a bounded sample of
-them (``SAMPLE`` distinct values, those of smallest hash): a prefix tree of character classes whose states are merged
-while a Hoeffding test finds their stop and transition frequencies compatible. A further automaton is inferred from
-ordinary long tokens. Every token of at least ``MIN_TOKEN`` characters outside the base spans is then scored: it is a
-secret when the log-likelihood ratio favours a credential's format and its likelihood per character and its length are
-typical of that kind. The method only adds spans; base spans stay as they are.
+them: a prefix tree of character classes whose states are merged while a Hoeffding test finds their stop and transition
+frequencies compatible. The sample is of at most ``SAMPLE`` distinct values a kind, spread over all lengths and skeletons
+(signs kept, letters and digits alike), so that rare formats are in it. Ordinary text is an automaton too, whose states are the
+last two character classes; its frequencies are counted over every token of every document, and once more without the tokens
+that already look likelier as credentials, so that many bare credentials don't pass as what is ordinary. Every token of at least
+``MIN_TOKEN`` characters outside the base spans is then scored: it is a secret when the log-likelihood ratio favours a
+credential's format by ``margin`` and its likelihood per character and its length are typical of that kind. The method only
+adds spans; base spans stay as they are. No credential is written anywhere but into the result.
 
 Offsets are code points, ends exclusive; spans are whole matches. Defined results: null and empty texts have no spans;
-repeated rows are scanned each; a null id is kept; without labelled credentials no automaton adds spans; extra columns
-are ignored.
+repeated rows are scanned each; a null id is kept, ids are of any type; without labelled credentials no automaton adds
+spans; of formats that score alike the first kind is named; extra columns are ignored; very long texts are read whole; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tributary.llm.common import read_table, scratch_dir, written
+from tributary.llm.common import read_table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-TOKEN, MIN_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), 16
-SAMPLE, ALPHA, SMALL = 400, 0.05, 8
+#: As short as the shortest credential of the base patterns.
+MIN_TOKEN = 8
+TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_TOKEN},}}")
+SAMPLE, ALPHA, SMALL = 1000, 0.05, 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -46,24 +58,59 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """(start, token) of the long tokens that no base span overlaps."""
-    out, at = [], 0
-    for word in text.split():
-        at = text.index(word, at)
-        if len(word) >= MIN_TOKEN:
-            for m in TOKEN.finditer(word):
-                a, b = at + m.start(), at + m.end()
-                if not any(s < b and a < e for s, _, e, _ in taken):
-                    out.append((a, m[0]))
-        at += len(word)
+    """(start, token) of the long tokens that no base span overlaps; full stops at the ends are not part of one."""
+    out, k = [], 0
+    ends = list(accumulate((e for _, _, e, _ in taken), max))  # spans are sorted by start; the furthest end so far
+    for m in TOKEN.finditer(text):
+        value = m[0].strip(".")
+        if len(value) < MIN_TOKEN:
+            continue
+        a = m.start() + len(m[0]) - len(m[0].lstrip("."))
+        while k < len(taken) and taken[k][0] < a + len(value):
+            k += 1
+        if k == 0 or ends[k - 1] <= a:
+            out.append((a, value))
     return out
 
 
+#: Character classes, then the start (twice before a token) and the end.
+SYMBOLS = "9hlHU+/_.=-^$"
+SIZE = {"9": 10, "h": 6, "l": 20, "H": 6, "U": 20}
+
+
+def symbol(c: str) -> str:
+    return "9" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "H" if "A" <= c <= "F" else "U" if c.isupper() else c
+
+
+CLASS = {ord(c): symbol(c) for c in string.ascii_letters + string.digits}
+#: The number of a byte's class in SYMBOLS.
+NUMBER = np.array([max(0, SYMBOLS.find(CLASS.get(i, chr(i)))) for i in range(256)], np.int64)
+
+
 def classes(value: str) -> str:
-    return "".join("9" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "H" if "A" <= c <= "F" else "U" if c.isupper() else c for c in value)
+    return value.translate(CLASS)
 
 
-SIZE = {"9": 10, "h": 6, "l": 20, "H": 6, "U": 20}
+def triples(tokens: list[str]) -> np.ndarray:
+    """How often each symbol follows each two; one count for every triple of ``SYMBOLS``."""
+    n = NUMBER[np.frombuffer("".join(f"^^{t}$" for t in tokens).encode(), np.uint8)]
+    k = len(SYMBOLS)
+    seen = np.bincount((n[:-2] * k + n[1:-1]) * k + n[2:], minlength=k**3).reshape(k, k, k) if len(n) else np.zeros((k, k, k), np.int64)
+    seen[:, :, SYMBOLS.index("^")] = 0  # from one token into the next
+    return seen
+
+
+class Ordinary:
+    """What ordinary tokens look like: an automaton whose states are the last two classes, from all tokens' counts."""
+
+    def __init__(self, seen: np.ndarray):
+        p = np.log((seen + 0.1) / (seen + 0.1).sum(2, keepdims=True))
+        p -= np.log([SIZE.get(c, 1) for c in SYMBOLS])
+        self.step = {a + b + c: float(p[i, j, k]) for i, a in enumerate(SYMBOLS) for j, b in enumerate(SYMBOLS) for k, c in enumerate(SYMBOLS)}
+
+    def log_likelihood(self, value: str) -> float:
+        c = f"^^{classes(value)}$"
+        return sum(self.step[c[i : i + 3]] for i in range(len(c) - 2))
 
 
 class Automaton:
@@ -163,60 +210,109 @@ class Format:
         return own - ordinary if self.low <= own / (len(value) + 1) <= self.high else 0.0
 
 
-SPAN = "array<struct<start:long,kind:int,stop:long,value:string>>"
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64()), ("value", pa.string())]))
+LEARNT = pa.schema([("kind", pa.int32()), ("part", pa.string()), ("hash", pa.int64()), ("value", pa.string()), ("n", pa.int64())])
+#: Values of one length and skeleton that a sample may hold.
+SPREAD = 64
+
 
+class Verdicts(dict):
+    """The kind (as a number, or -1) of each token; a cache of bounded size, emptied when full."""
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, formats: dict[str, Format], ordinary: Ordinary, margin: float):
+        self.formats, self.ordinary, self.margin, self.held = [(KINDS.index(k), f) for k, f in formats.items()], ordinary, margin, 0
+
+    def __missing__(self, value: str) -> int:
+        fit = [(k, f) for k, f in self.formats if f.least <= len(value) <= f.most]
+        plain = self.ordinary.log_likelihood(value) if fit else 0.0
+        gain, kind = max(((f.fits(value, plain), -k) for k, f in fit), default=(0.0, 0))
+        out = -kind if gain > self.margin else -1
+        self.held += len(value)
+        if self.held > 8_000_000:
+            self.clear()
+            self.held = len(value)
+        self[value] = out
+        return out
+
+
+def counts(tokens: list[str]) -> list[tuple]:
+    seen = triples(tokens).ravel()
+    return [(-1, str(i), 0, "", int(seen[i])) for i in np.flatnonzero(seen)]
+
+
+def learnt(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(LEARNT)], schema=LEARNT)
+
+
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to labelled credentials, each in its part (length, skeleton, one of ``SPREAD``), and to counts of triples (kind -1)."""
     for batch in batches:
-        base, more = [], []
-        for text in batch.column(1):
+        values, tokens = set(), []
+        for text in batch.column(0):
             t = text.as_py() or ""
             spans = base_spans(t)
-            base.append([{"start": a, "kind": k, "stop": b, "value": v} for a, k, b, v in spans])
-            more.append([{"start": a, "kind": -1, "stop": a + len(v), "value": v} for a, v in candidates(t, spans)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN), pa.array(more, _SPAN)], names=["id", "base", "more"])
+            values |= {(k, v) for _, k, _, v in spans}
+            tokens += [v for _, v in candidates(t, spans)]
+        out = counts(tokens)
+        for k, v in values:
+            h = xxhash.xxh64_intdigest(v) >> 1
+            out.append((k, f"{len(v)}:{re.sub('[A-Za-z0-9]+', 'a', v)}:{h % SPREAD}", h, v, 1))
+        yield learnt(out)
+
+
+def _plain(formats: dict[str, Format], ordinary: Ordinary):
+    """Texts to counts of triples without tokens that are likelier as credentials."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdicts = Verdicts(formats, ordinary, 0.0)
+        for batch in batches:
+            tokens = [v for text in batch.column(0) for t in [text.as_py() or ""] for _, v in candidates(t, base_spans(t)) if verdicts[v] < 0]
+            yield learnt(counts(tokens))
+
+    return run
+
 
+def infer_formats(texts: DataFrame) -> tuple[dict[str, Format], Ordinary]:
+    """A format for each kind of which there are credentials, and the automaton of ordinary tokens."""
+    kind = "kind int, part string, hash long, value string, n long"
 
-def infer_formats(scanned: DataFrame) -> tuple[dict[str, Format], Automaton | None]:
-    """A format for each kind with at least ten distinct credentials, and the automaton of ordinary tokens."""
-    def sample(col: str, where: str) -> list[str]:
-        v = scanned.select(F.explode(col).alias("s")).select("s.*").where(where).select("value").distinct()
-        return sorted(r[0] for r in v.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect())
+    def total(rows: DataFrame) -> Ordinary:
+        seen = np.zeros(len(SYMBOLS) ** 3, np.int64)
+        for r in rows.where("kind = -1").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most a row for each triple
+            seen[int(r[0])] = r[1]
+        return Ordinary(seen.reshape([len(SYMBOLS)] * 3))
 
+    rows = texts.mapInArrow(_learnt, kind)
+    first = rows.groupBy("kind", "part").agg(F.min(F.struct("hash", "value")).alias("x"), F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     formats = {}
-    for k, kind in enumerate(KINDS):
-        values = sample("base", f"kind = {k}")
-        if len(values) >= 10:
-            formats[kind] = Format(values)
-    ordinary = sample("more", "NOT value RLIKE '[0-9]'")
-    return formats, Automaton(ordinary) if ordinary else None
+    for k, name in enumerate(KINDS):
+        # The remainder of the hash is the round: one value of every length and skeleton, then the next.
+        some = first.where(F.col("kind") == k).orderBy(F.pmod("x.hash", F.lit(SPREAD)), "x").select("x.value").limit(SAMPLE).collect()
+        if some:
+            formats[name] = Format([r[0] for r in some])
+    ordinary = total(first)
+    first.unpersist()
+    return formats, total(texts.mapInArrow(_plain(formats, ordinary), kind)) if formats else ordinary
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = 8.0) -> DataFrame:
     """(id, spans) of each row; ``spans``: array of (start, kind, stop, value), kind a base kind or ``auto_`` and one."""
-    path = scratch_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = written(rows.mapInArrow(_scan, f"id long, base {SPAN}, more {SPAN}"), f"{path}/scanned")
-    formats, ordinary = infer_formats(scanned)
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    formats, ordinary = infer_formats(rows.select("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*KINDS, *(f"auto_{k}" for k in KINDS)]
+        names, verdicts = [*KINDS, *(f"auto_{k}" for k in KINDS)], Verdicts(formats, ordinary, margin)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("stop", pa.int64()), ("value", pa.string())]))
         for batch in batches:
             out = []
-            for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for s in more:
-                    value, size = s["value"], len(s["value"])
-                    plain = ordinary.log_likelihood(value) if ordinary else -3.3 * size
-                    gain, best = max(((f.fits(value, plain), k) for k, f in formats.items()), default=(0.0, ""))
-                    if gain > margin:
-                        base.append(s | {"kind": 3 + KINDS.index(best)})
-                out.append([s | {"kind": names[s["kind"]]} for s in sorted(base, key=lambda s: (s["start"], s["kind"]))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "spans"])
-
-    out = scanned.mapInArrow(judge, "id long, spans array<struct<start:long,kind:string,stop:long,value:string>>")
-    return out.withColumnRenamed("id", id_col)
+            for text in batch.column(0):
+                t = text.as_py() or ""
+                spans = base_spans(t)
+                added = [(a, 3 + k, a + len(v), v) for a, v in candidates(t, spans) for k in [verdicts[v]] if k >= 0] if formats else []
+                out.append([{"start": a, "kind": names[k], "stop": b, "value": v} for a, k, b, v in sorted(spans + added)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, kind)], names=["id", "spans"])
+
+    kind = T.StructType([rows.schema["id"]]).add("spans", T.ArrayType(T.StructType.fromDDL("start long, kind string, stop long, value string")))
+    return rows.mapInArrow(judge, kind).withColumnRenamed("id", id_col)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
