@@ -68,7 +68,7 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     got = [(r.vec_id, r.n_links, r.component_id) for r in embedding.near_duplicates(v).collect()]
     assert sorted(got, key=str) == sorted([(1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 2, 1), (None, 0, None), (8, 0, 8)], key=str)
     assert embedding.near_duplicates(v.limit(0)).count() == 0
-    assert chat.read_back(chat.format_turns(chat.canonical_turns(chat.records_from_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))))).count() == 0
+    assert chat.read_back(chat.format_turns(chat.turns_from_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
 
 
 def test_pii_surrogates(spark):
@@ -304,11 +304,45 @@ def test_chat_layouts_and_round_trip(spark):
     assert got[1].layout == "conversations" and got[1].turns[0].role == "user" and got[3].turns[0].role == "system" and got[5].layout is None
 
 
+def test_chat_layouts_with_other_fields(spark):
+    import json
+
+    m, said = [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}], [("user", "q"), ("assistant", "a")]
+    records = [
+        ({"id": 1, "messages": m}, "messages", said), ({"id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}]}, "conversations", said),
+        ({"messages": []}, "messages_empty", []), ({"id": 3, "instruction": "do", "input": "q", "output": "a"}, "instruction", [("system", "do"), *said]),
+        ({"id": 3, "instruction": "q", "input": "", "output": "a"}, "instruction", said), ({"instruction": "q", "output": "a"}, "instruction", said),
+        ({"data": {"dialog": [{"speaker": "human", "utterance": "q"}, {"speaker": "bot", "utterance": "a"}]}, "odd name": {"a.b": [[1]]}}, "dialog", said),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}, "message_parts", said),
+        ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]}, "messages", [("user", "q"), ("assistant", "")]), ({"messages": "text"}, None, None), ([1], None, None), ({}, None, None),
+        ({"system": "s", "prompt": "q", "completion": "a", "meta": {"messages": 3}}, "prompt_completion", [("system", "s"), *said]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)], "conv_id long, record string")
+    got = {r.conv_id: r for r in chat.format_turns(chat.canonical_turns(df)).withColumn("back", chat.parse_formatted(F.col("formatted"))).collect()}
+    for i, (record, layout, turns) in enumerate(records):
+        assert (got[i].layout, got[i].turns if turns is None else [(t.role, t.text) for t in got[i].turns]) == (layout, turns), record
+        assert turns is None or [(t.role, t.text) for t in got[i].back] == turns
+    deep = df.where("conv_id = 6").select(F.array_sort(chat.variant_paths(F.try_parse_json("record"))).alias("p")).first().p
+    assert deep == sorted(["data", "data.dialog", "data.dialog[].speaker", "data.dialog[].utterance", "odd name", "odd name.a.b"])
+
+
+def test_chat_odd_rows(spark):
+    odd = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, None, None, None), (1, 2, "assistant", "<|end|><|turn|>"), (None, 1, "user", "a"), (None, 0, "assistant", "b" * 300_000), (2, 0, "assistant", "")]
+    df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumn("layout", F.lit(3)).withColumn("turns", F.lit(1))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.turns_from_rows(df))).collect()}
+    sha = lambda t: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
+    want = {1: [("", ""), ("user", "q"), ("user", "q"), ("assistant", "<|end|><|turn|>")], None: [("assistant", "b" * 300_000), ("user", "a")], 2: [("assistant", "")]}
+    assert {i: (r.n_turns, r.turns_sha256) for i, r in got.items()} == {i: (len(t), sha(t)) for i, t in want.items()}
+    assert got[1].loss_sha256 == hashlib.sha256(b"<|end|><|turn|>").hexdigest() and got[2].loss_chars == 0
+    other = spark.createDataFrame([(1, 0, "human", "q"), (1, 1, "gpt", "a")], "conv_id long, turn long, from string, value string")
+    assert [(t.role, t.text) for t in chat.turns_from_rows(other).first().turns] == [("user", "q"), ("assistant", "a")]
+
+
 def test_chat_turns_longer_than_a_json_string_may_be(spark):
     long = F.when(F.col("id") == 1, F.repeat(F.lit("ab <| "), 3_500_000)).otherwise(F.lit("q"))  # 21 million characters
     df = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 1, "assistant").otherwise("user").alias("role"), long.alias("text"))
     got = chat.read_back(chat.format_turns(chat.turns_from_rows(df))).first()
-    assert (got.n_turns, got.loss_chars, got.layout) == (2, 21_000_000, "messages")
+    assert (got.n_turns, got.loss_chars, got.layout) == (2, 21_000_000, "rows_role_text")
     assert got.loss_sha256 == hashlib.sha256(b"ab <| " * 3_500_000).hexdigest()
     record = F.to_json(F.struct(F.lit("q").alias("prompt"), F.repeat(F.lit("ab"), 10_500_000).alias("completion")))
     records = spark.range(1).select(record.alias("record")).unionAll(spark.createDataFrame([('{"prompt": "q", "completion": "a"}',), (None,)], "record string"))

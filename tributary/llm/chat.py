@@ -1,15 +1,18 @@
-"""Chat formatting: heterogeneous layouts are recognised by a schema fingerprint. DataFrame operations only.
+"""Chat formatting: heterogeneous layouts are recognised by schema fingerprints. DataFrame operations only.
 
-A record's *fingerprint* is the hash of its sorted nested field paths. ``LAYOUTS`` maps fingerprints to declarative
-mappings (a turn array with role and content fields, or single prompt and reply fields), so a new layout is one entry
-and no code. Records with an unknown fingerprint are kept with ``turns`` null and their paths, never dropped.
+A record's *fingerprint* is the hash of its sorted nested field paths (``a.b``, ``a[].b``). ``LAYOUTS`` are declarative
+mappings (a turn array with role and content fields, or single prompt and reply fields), each with the paths it requires and
+those it may have. Of a record's paths those that a mapping knows are hashed, and the mapping is selected if it declares
+that hash; fields that no mapping knows (ids, names, scores) don't disturb it. The first mapping in order counts, so a new
+layout is one entry and no code. Records that none fits are kept with ``turns`` null and their fingerprint, never dropped.
 
 Canonical turns are then laid out by a template. Its control strings all begin with ``<|``; in a text (and a role) every
 ``<``, ``\\*``, ``|`` run gets one more backslash, which is undone exactly on reading, so no text can forge a turn.
 
 Defined results: null text and role are empty; turns are ordered by (turn, role, text) with null turns first; repeated
-rows are turns of their own; rows with a null conversation id form one conversation; extra columns are ignored.
-Rows that are turns already (role and text columns) become their turns directly, under the fingerprint of ``messages``.
+rows are turns of their own; rows with a null conversation id form one conversation; extra columns are ignored; an empty
+turn array gives no turns and an empty format; an empty table gives an empty table.
+Rows that are turns already become their turns directly, by the fingerprint of the table's own columns (``ROWS``).
 Foreign records are parsed as a variant: JSON that isn't null and gives none (malformed, over 128 MiB as a variant, or a
 string of over 20 million characters) has ``unread`` true and no layout, fingerprint or turns.
 One conversation is one output row, so its turns meet in one task: that is the unit of the result.
@@ -18,6 +21,7 @@ One conversation is one output row, so its turns meet in one task: that is the u
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,30 +34,54 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """``paths``: its field paths. ``array``: path of the turn array with ``role`` and ``text`` fields, or none, in
-    which case ``singles`` are (role, path) in order; a single may be null and is then no turn."""
+    """``required`` and ``optional``: field paths that tell the layout. ``array``: path of the turn array with ``role`` and
+    ``text`` fields, or none, in which case ``singles`` are (role, path) in order; an absent or empty one is no turn, and
+    without a user's turn the first turn, if a system's, is the user's. ``parts``: the text is an array of objects with this field."""
 
     name: str
-    paths: tuple[str, ...]
+    required: tuple[str, ...]
+    optional: tuple[str, ...] = ()
     array: str | None = None
-    role: str | None = None
-    text: str | None = None
+    role: str = ""
+    text: str = ""
+    parts: str | None = None
     singles: tuple[tuple[str, str], ...] = ()
-    #: Role names of this layout, in canonical form; others stay as they are.
-    roles: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def known(self) -> list[str]:
+        return sorted({*self.required, *self.optional})
 
+    def fingerprints(self) -> list[Column]:
+        """One for each choice of the optional paths."""
+        some = (c for k in range(len(self.optional) + 1) for c in combinations(self.optional, k))
+        return [fingerprint(F.array(*map(F.lit, sorted({*self.required, *c})))) for c in some]
+
+
+def _turns(name: str, array: str, role: str, text: str, parts: str | None = None) -> Layout:
+    deep = f"{array}[].{text}[].{parts}" if parts else f"{array}[].{text}"
+    return Layout(name, (array, f"{array}[].{role}", deep), (), array, role, text, parts)
+
+
+#: Role names in canonical form; others stay as they are.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatbot": "assistant"}
 LAYOUTS = (
-    Layout("messages", ("messages", "messages[].content", "messages[].role"), "messages", "role", "content"),
-    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), "conversations", "from", "value",
-           roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
-    Layout("prompt_completion", ("completion", "prompt"), singles=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt_response", ("prompt", "response"), singles=(("user", "prompt"), ("assistant", "response"))),
-    Layout("question_answer", ("answer", "question"), singles=(("user", "question"), ("assistant", "answer"))),
-    Layout("instruction", ("instruction", "output"), singles=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", ("input", "instruction", "output"), singles=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("system_prompt", ("prompt", "response", "system"), singles=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    _turns("message_parts", "messages", "role", "content", "text"),
+    _turns("messages", "messages", "role", "content"),
+    _turns("messages_from", "messages", "from", "value"),
+    _turns("conversations", "conversations", "from", "value"),
+    _turns("conversations_role", "conversations", "role", "content"),
+    _turns("conversation", "conversation", "role", "content"),
+    _turns("dialog", "data.dialog", "speaker", "utterance"),
+    Layout("instruction", ("instruction", "output"), ("input", "system"), singles=(("system", "system"), ("system", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("instruction_response", ("instruction", "response"), ("context",), singles=(("system", "context"), ("user", "instruction"), ("assistant", "response"))),
+    Layout("prompt_completion", ("prompt", "completion"), ("system",), singles=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_response", ("prompt", "response"), ("system",), singles=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("question_answer", ("question", "answer"), ("context",), singles=(("system", "context"), ("user", "question"), ("assistant", "answer"))),
+    # Arrays without elements have no paths below them.
+    *(Layout(f"{a}_empty", (a,), array=a) for a in ("messages", "conversations", "conversation")),
 )
+#: Columns of tables whose rows are turns: (role, text).
+ROWS = (("role", "text"), ("role", "content"), ("from", "value"), ("speaker", "utterance"))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -61,49 +89,64 @@ def fingerprint(paths: Column) -> Column:
 
 
 def variant_paths(v: Column) -> Column:
-    """Top-level field paths of a variant and those of the objects in its arrays, from its schema's text."""
-    text = F.schema_of_variant(v)
-    # OBJECT<a: STRING, m: ARRAY<OBJECT<content: STRING, role: STRING>>>: nested objects become a[].b paths.
-    nested = F.regexp_extract_all(text, F.lit(r"(\w+): ARRAY<OBJECT<([^<>]*)>>"), F.lit(0))
-    inner = F.flatten(
-        F.transform(
-            nested,
-            lambda x: F.transform(
-                F.regexp_extract_all(F.regexp_extract(x, r"OBJECT<([^<>]*)>", 1), F.lit(r"(\w+): "), F.lit(1)),
-                lambda y: F.concat(F.regexp_extract(x, r"^(\w+): ", 1), F.lit("[]."), y),
-            ),
-        )
-    )
-    flat = F.regexp_replace(F.regexp_replace(text, r"ARRAY<OBJECT<[^<>]*>>", "ARRAY"), r"^OBJECT<", "")
-    return F.concat(F.regexp_extract_all(flat, F.lit(r"(?:^|, )(\w+): "), F.lit(1)), inner)
-
-
-def _turn_of(lay: Layout):
-    def turn(x: Column) -> Column:
-        role = F.coalesce(x[lay.role], F.lit(""))
-        for a, b in lay.roles:
-            role = F.when(x[lay.role] == a, b).otherwise(role)
-        return F.struct(role.alias("role"), F.coalesce(x[lay.text], F.lit("")).alias("text"))
-
-    return turn
+    """All field paths of a variant at any depth: its schema's text, read sign by sign with a stack of prefixes."""
+    name = r"`(?:[^`]|``)*`: |[^<>:, `]+: "
+    signs = F.regexp_extract_all(F.schema_of_variant(v), F.lit(rf"{name}|OBJECT<|ARRAY<|>"), F.lit(0))
+    text, none = F.lit(""), F.array().cast("array<string>")
+    start = F.struct(none.alias("stack"), text.alias("at"), none.alias("paths"))
+
+    def step(state: Column, sign: Column) -> Column:
+        stack = state["stack"]
+        field = F.regexp_replace(F.regexp_replace(sign, "^`|`?: $", ""), "``", "`")
+        path = F.concat(F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("")), field)
+        opened = F.when(sign == "ARRAY<", F.concat(state["at"], F.lit("[]"))).otherwise(state["at"])
+        prefix = F.when(opened == "", "").otherwise(F.concat(opened, F.lit(".")))
+        out = F.struct(F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))).alias("stack"), state["at"].alias("at"), state["paths"].alias("paths"))
+        out = F.when(sign == ">", out).when(
+            sign.endswith("<"), F.struct(F.concat(stack, F.array(prefix)).alias("stack"), opened.alias("at"), state["paths"].alias("paths")))
+        return out.otherwise(F.struct(stack.alias("stack"), path.alias("at"), F.concat(state["paths"], F.array(path)).alias("paths")))
+
+    return F.aggregate(signs, start, step)["paths"]
+
+
+def _role(role: Column) -> Column:
+    out = F.coalesce(role, F.lit(""))
+    for a, b in ROLES.items():
+        out = F.when(role == a, b).otherwise(out)
+    return out
+
+
+def _made(lay: Layout, v: str) -> Column:
+    """The turns of a record of one layout; null where its values aren't of that form."""
+    if lay.array and not lay.role:
+        items = F.try_variant_get(v, f"$.{lay.array}", "array<variant>")
+        return F.when(F.size(items) == 0, F.array().cast(TURNS))
+    if lay.array:
+        text = f"array<struct<`{lay.parts}`:string>>" if lay.parts else "string"
+        items = F.try_variant_get(v, f"$.{lay.array}", f"array<struct<`{lay.role}`:string,`{lay.text}`:{text}>>")
+
+        def turn(x: Column) -> Column:
+            said = F.array_join(F.transform(x[lay.text], lambda y: y[lay.parts]), "") if lay.parts else x[lay.text]
+            return F.struct(_role(x[lay.role]).alias("role"), F.coalesce(said, F.lit("")).alias("text"))
+
+        return F.transform(items, turn)
+    one = [F.struct(F.lit(r).alias("role"), F.try_variant_get(v, f"$.{p}", "string").alias("text")) for r, p in lay.singles]
+    made = F.filter(F.array(*one), lambda x: F.coalesce(x.text, F.lit("")) != "")
+    orphan = ~F.exists(made, lambda x: x.role == "user")
+    return F.transform(made, lambda x, i: F.struct(F.when(orphan & (i == 0) & (x.role == "system"), "user").otherwise(x.role).alias("role"), x.text.alias("text")))
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """JSON records of any known layout with ``layout``, ``fingerprint``, ``turns`` (array of role, text) and ``unread``:
-    whether there is a record that couldn't be parsed."""
+    """JSON records of any known layout with ``layout``, ``fingerprint`` (of all paths), ``turns`` (array of role, text) and
+    ``unread``: whether there is a record that couldn't be parsed."""
     v = F.try_parse_json(json_col)
-    out = records.withColumn("__v", v).withColumn("__paths", variant_paths(F.col("__v")))
+    out = records.withColumn("__v", v).withColumn("__paths", F.array_distinct(variant_paths(F.col("__v"))))
     out = out.withColumn("fingerprint", fingerprint(F.col("__paths")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for lay in layouts:
-        mine = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, lay.paths)))
-        if lay.array:
-            items = F.try_variant_get("__v", f"$.{lay.array}", f"array<struct<`{lay.role}`:string,`{lay.text}`:string>>")
-            made = F.transform(items, _turn_of(lay))
-        else:
-            one = [F.struct(F.lit(r).alias("role"), F.try_variant_get("__v", f"$.{p}", "string").alias("text")) for r, p in lay.singles]
-            made = F.filter(F.array(*one), lambda x: x.text.isNotNull())
-        name, turns = F.when(mine, lay.name).otherwise(name), F.when(mine, made).otherwise(turns)
+    for lay in reversed(layouts):
+        mine = fingerprint(F.array_intersect("__paths", F.array(*map(F.lit, lay.known)))).isin(*lay.fingerprints())
+        made = _made(lay, "__v")
+        name, turns = F.when(mine & made.isNotNull(), lay.name).otherwise(name), F.when(mine & made.isNotNull(), made).otherwise(turns)
     unread = F.col(json_col).isNotNull() & F.col("__v").isNull()
     return out.withColumns({"layout": name, "turns": turns, "unread": unread}).drop("__v", "__paths")
 
@@ -142,24 +185,21 @@ def parse_formatted(formatted: Column) -> Column:
     )
 
 
-def records_from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record of the ``messages`` layout per conversation, its rows in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(
-        F.coalesce(F.col(turn).cast("long"), F.lit(-(2**63))).alias("t"), F.coalesce(role, F.lit("")).alias("role"),
-        F.coalesce(text, F.lit("")).alias("content"))))
-    messages = F.transform(ordered, lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
-    return rows.groupBy(F.col(conv).alias("conv_id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
-
+def turns_from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """``conv_id``, ``fingerprint``, ``layout`` and ``turns`` of each conversation, its rows in order; no JSON in between.
 
-def turns_from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id``, ``fingerprint``, ``layout`` and ``turns`` of each conversation, its rows in order; no JSON in between."""
+    The first of ``ROWS`` whose columns the table has is its layout.
+    """
+    found = next(((r, t) for r, t in ROWS if {r, t} <= set(rows.columns)), None)
+    if found is None:
+        raise ValueError(f"no layout for rows with the columns {rows.columns}")
+    role, text = found
     ordered = F.array_sort(F.collect_list(F.struct(
-        F.coalesce(F.col(turn).cast("long"), F.lit(-(2**63))).alias("t"), F.coalesce(role, F.lit("")).alias("role"),
-        F.coalesce(text, F.lit("")).alias("text"))))
-    turns = F.transform(ordered, lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
-    lay = LAYOUTS[0]
+        F.coalesce(F.col(turn).cast("long"), F.lit(-(2**63))).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"))))
+    turns = F.transform(ordered, lambda x: F.struct((x.role if role == "role" else _role(x.role)).alias("role"), x.text.alias("text")))
     return rows.groupBy(F.col(conv).alias("conv_id")).agg(turns.alias("turns")).select(
-        "conv_id", fingerprint(F.array(*map(F.lit, lay.paths))).alias("fingerprint"), F.lit(lay.name).alias("layout"), "turns")
+        "conv_id", fingerprint(F.array(*map(F.lit, found))).alias("fingerprint"), F.lit(f"rows_{role}_{text}").alias("layout"), "turns")
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -193,6 +233,6 @@ WITH r AS (SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesc
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(laid) AS BIGINT) AS formatted_chars, 'messages' AS layout
+       CAST(sum(laid) AS BIGINT) AS formatted_chars, 'rows_role_text' AS layout
 FROM e GROUP BY conv_id
 """
