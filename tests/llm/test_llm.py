@@ -561,6 +561,22 @@ def test_embedding_tiles_equal_brute_force(spark, monkeypatch):
         assert all(got[i].component_id == got[j].component_id for i, j in np.argwhere(link)) and all(got[got[i].component_id].kept for i in got)
 
 
+def test_embeddings_of_every_dimension_and_size(spark):
+    vectors = [[1.0, 0.0], [2.0, 0.1], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [3.0], [1e200, 1e200], [1e-200, 1e-200], [1.0, 1.0], [1e-320, 0.0], [5.0], [-1.0], [float("inf"), 0.0]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, d int")
+    got = {q.vec_id: (q.n_links, q.component_id) for q in embedding.near_duplicates(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (1, 5), 6: (2, 6), 7: (2, 6), 8: (2, 6), 9: (2, 0), 10: (1, 5), 11: (0, 11), 12: (0, 12)}
+
+
+def test_near_boxes_equal_all_pairs():
+    r = np.random.default_rng(1)
+    los = r.random((300, 3))
+    his = los + r.random((300, 3)) * 0.1
+    gap = np.maximum(0, np.maximum(los[:, None] - his, los - his[:, None]))
+    want = {(i, j) for i, j in np.argwhere((gap * gap).sum(2) <= 0.05) if i <= j}
+    assert want == set(zip(*(x.tolist() for x in embedding.near_boxes(los, his, 0.05, 16)), strict=True))
+
+
 def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     docs = {r.doc_id for r in common.read_table(spark, SF, "documents").collect()}

@@ -6,16 +6,20 @@ along the leading directions; a pair of tiles whose bounding boxes are too far a
 leading dimensions are multiplied first, and a pair of vectors is dropped as soon as its partial product plus the product
 of its residual norms cannot reach the threshold; survivors are completed, and those within 1e-9 of the threshold are
 decided by the plain formula in double precision on the original components. Every vector is compared, none sampled:
-only the split positions come from a bounded sample of ``SPLIT_ROWS`` vectors, and they affect speed alone.
+only the split positions come from a bounded sample (``SPLIT_ROWS`` vectors, or 16 a tile), and they affect speed alone.
 
 A task holds one block of a tile and streams its partners; links are counted there and only a spanning forest of them
-leaves it, so a group of near copies never becomes all of its pairs. The number of tiles is at most ``MAX_TILES``, which
-bounds the tile statistics held by the driver; a tile of more than two times ``TILE`` vectors is dealt by hash over several
-blocks, each a task's home of its own, so a task's memory doesn't grow with the input.
+leaves it, so a group of near copies never becomes all of its pairs. Tiles hold about ``TILE`` vectors up to ``MAX_TILES`` of
+them, which bounds what the driver holds (their boxes, the pairs of tiles that are near); boxes are compared by groups first.
+A tile of more than two times ``TILE`` vectors is dealt by hash over several blocks, each a task's home of its own, so a task's
+memory doesn't grow with the input; beyond ``MAX_TILES * TILE`` vectors the work of near tiles grows with their square.
 
-Defined results: null or zero vectors, and those with null or non-finite components or of another dimension than most,
-link with nothing; a null id is returned with no links and a null component; repeated rows count as vectors; extra
-columns are ignored.
+Vectors of every dimension are compared, each dimension by itself (cosine is defined between equal dimensions only).
+Components are scaled by a power of two where their squares would over- or underflow, which is exact.
+
+Defined results: null or zero vectors and those with null or non-finite components link with nothing, nor do vectors of
+different dimensions; a null id is returned with no links and a null component; repeated rows count as vectors; extra
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import connected_components, read_table, scratch_dir, written
+from tributary.llm.common import connected_components, maybe_broadcast, read_table, scratch_dir, written
 
-TILE, MAX_TILES, SPLIT_ROWS = 4096, 4096, 20_000
+TILE, MAX_TILES, SPLIT_ROWS = 4096, 32_768, 20_000
 #: Leading dimensions of the tiles' boxes.
 BOX = 8
 
@@ -232,79 +236,105 @@ def _compare(rotation: np.ndarray, threshold: float, steps: tuple[int, int]):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, copies, array) to (rep, copies, bytes), components of extreme size scaled by a power of two."""
+    for b in batches:
+        x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        if b.num_rows:
+            power = np.frexp(np.abs(x).max(1))[1]
+            x = np.ldexp(x, np.where(np.abs(power) > 300, -power, 0)[:, None])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "copies", "vec"])
+
+
+def near_boxes(los: np.ndarray, his: np.ndarray, reach: float, group: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i <= j, of the boxes within a squared distance; boxes of neighbouring numbers are compared as one first."""
+    def close(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(a[:, None] - d, c - b[:, None]))
+        return (gap * gap).sum(2) <= reach
+
+    at = np.arange(0, len(los), group)
+    low, high = np.minimum.reduceat(los, at), np.maximum.reduceat(his, at)
+    out = []
+    for x in range(len(at)):
+        for y in x + np.nonzero(close(low[x : x + 1], high[x : x + 1], low[x:], high[x:])[0])[0]:
+            v, w = slice(at[x], at[x] + group), slice(at[y], at[y] + group)
+            i, j = np.nonzero(close(los[v], his[v], los[w], his[w]))
+            keep = i + at[x] <= j + at[y]
+            out.append((i[keep] + at[x], j[keep] + at[y]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _linked(classes: DataFrame, d: int, threshold: float, tile: int, path: str) -> DataFrame:
+    """(a, b, links) of the distinct vectors of one dimension: forest links (links 0) and link counts (b 0)."""
+    spark, n = classes.sparkSession, classes.count()
+    packed = written(classes.select("rep", "copies", "v").mapInArrow(_packed, "rep long, copies long, vec binary"), f"{path}/packed")
+    sums = packed.select("vec").mapInArrow(_moments, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v")).collect()  # dimension squared
+    m = np.zeros((d, d))
+    for r, c, x in sums:
+        m[r, c] = x
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    rotation = np.ascontiguousarray(vectors[:, np.argsort(-values)])
+    lead = min(d, BOX)
+    leaves = int(min(MAX_TILES, max(1, -(-n // tile))))
+
+    def leading(vectors_: pa.Array) -> np.ndarray:
+        x = _dense(vectors_)
+        return np.ascontiguousarray(((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation)[:, :lead])
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in leading(b.column(0))], pa.binary())], names=["lead"])
+
+    nodes: list[tuple[int, float, int, int]] = []
+    if leaves > 1:
+        some = packed.orderBy(F.xxhash64("rep")).limit(max(SPLIT_ROWS, 16 * leaves)).select("vec").mapInArrow(projected, "lead binary").collect()
+        nodes = _splits(np.stack([np.frombuffer(r[0], np.float64) for r in some]), leaves)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y = leading(b.column(2))
+            flat = pa.array(y.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(_leaf_of(y, nodes)), *b.columns, pa.ListArray.from_arrays(np.arange(0, y.size + 1, lead, dtype=np.int32), flat)], names=["leaf", "rep", "copies", "vec", "lead"])
+
+    tiles = written(packed.mapInArrow(placed, "leaf int, rep long, copies long, vec binary, lead array<double>"), f"{path}/tiles")
+    ends = [f(F.get("lead", F.lit(k))).alias(f"{s}{k}") for k in range(lead) for f, s in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = tiles.groupBy("leaf").agg(F.count("*").alias("n"), *ends).orderBy("leaf").collect()  # one row for each tile
+    los = np.array([[r[f"lo{k}"] for k in range(lead)] for r in boxes])
+    his = np.array([[r[f"hi{k}"] for k in range(lead)] for r in boxes])
+    # Squared distance of unit vectors at the threshold. Each pair of tiles once, dealt evenly around the circle of tiles.
+    i, j = near_boxes(los, his, 2 - 2 * threshold + 1e-9)
+    far = 2 * (j - i) > len(boxes)
+    i, j = np.where(far, j, i), np.where(far, i, j)
+    names, blocks = np.array([r["leaf"] for r in boxes], np.int64), np.array([-(-r["n"] // (2 * tile)) for r in boxes], np.int64)
+    table = pa.table({"leaf": names[j], "home": names[i], "own": blocks[j], "others": blocks[i]})
+    pairs = maybe_broadcast(written(spark.createDataFrame(table), f"{path}/pairs"))
+    # Blocks of one tile meet once (a block goes to the homes up to its own), those of two tiles all.
+    block = F.pmod(F.xxhash64(F.lit(3), "rep"), "own")
+    upto = F.when(F.col("home") == F.col("leaf"), F.col("block")).otherwise(F.col("others") - 1)
+    number = lambda leaf, block: F.shiftleft(F.col(leaf).cast("long"), 40) + F.col(block)
+    work = tiles.join(pairs, "leaf").withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
+    work = work.select(number("home", "to").alias("home"), number("leaf", "block").alias("tile"), "rep", "copies", "vec")
+    work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").sortWithinPartitions("home", F.col("tile") != F.col("home"), "tile")
+    return written(work.mapInArrow(_compare(rotation, threshold, steps_of(np.sort(values)[::-1])), "a long, b long, links long"), f"{path}/found")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     v = F.col(vec_col).cast("array<double>")
-    norm2 = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    fine = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & (norm2 > 0) & (norm2 < float("inf"))
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))  # NaN is greatest
+    fine = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & (most > 0) & (most < float("inf"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    dims = rows.where("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = dims[0] if dims else 0
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("v") == d)).withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(7), "v")})
+    rows = rows.withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(7), "v")})
     good = rows.where("fine")
-    classes = written(good.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), f"{path}/classes")
-    n = classes.count()
-    if n:
-        packed = classes.select("rep", "copies", F.transform("v", lambda x: x).alias("v"))
-
-        def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "copies", "vec"])
-
-        packed = written(packed.mapInArrow(bytes_of, "rep long, copies long, vec binary"), f"{path}/packed")
-        sums = packed.select("vec").mapInArrow(_moments, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v")).collect()  # dimension squared
-        m = np.zeros((d, d))
-        for r, c, x in sums:
-            m[r, c] = x
-        values, vectors = np.linalg.eigh((m + m.T) / 2)
-        rotation = np.ascontiguousarray(vectors[:, np.argsort(-values)])
-        lead = min(d, BOX)
-        leaves = int(min(MAX_TILES // 2, max(1, -(-n // tile))))
-        nodes: list[tuple[int, float, int, int]] = []
-        if leaves > 1:
-            some = packed.orderBy(F.xxhash64("rep")).limit(SPLIT_ROWS).select("vec").collect()
-            x = np.stack([np.frombuffer(r[0], np.float64) for r in some])
-            nodes = _splits(((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation)[:, :lead], leaves)
-
-        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = _dense(b.column(2))
-                y = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation)[:, :lead]
-                flat = pa.array(np.ascontiguousarray(y).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(_leaf_of(y, nodes)), *b.columns, pa.ListArray.from_arrays(np.arange(0, y.size + 1, lead, dtype=np.int32), flat)], names=["leaf", "rep", "copies", "vec", "lead"])
-
-        tiles = written(packed.mapInArrow(placed, "leaf int, rep long, copies long, vec binary, lead array<double>"), f"{path}/tiles")
-        ends = [f(F.get("lead", F.lit(k))).alias(f"{s}{k}") for k in range(lead) for f, s in ((F.min, "lo"), (F.max, "hi"))]
-        boxes = tiles.groupBy("leaf").agg(F.count("*").alias("n"), *ends).orderBy("leaf").collect()  # one row for each tile
-        los = np.array([[r[f"lo{k}"] for k in range(lead)] for r in boxes])
-        his = np.array([[r[f"hi{k}"] for k in range(lead)] for r in boxes])
-        names, t = [r["leaf"] for r in boxes], len(boxes)
-        reach = 2 - 2 * threshold + 1e-9  # squared distance of unit vectors at the threshold
-        partners = {}
-        for i in range(t):
-            gap = np.maximum(0, np.maximum(los[i] - his, los - his[i]))
-            near = np.nonzero((gap * gap).sum(1) <= reach)[0]
-            for j in near:
-                # Each pair once, dealt evenly around the circle of tiles; the partner tile is sent to the home.
-                if j == i or 0 < (j - i) % t < t / 2 or ((j - i) % t) * 2 == t and i < j:
-                    partners.setdefault(names[j], []).append(names[i])
-        blocks = {r["leaf"]: -(-r["n"] // (2 * tile)) for r in boxes}
-        pair_rows = [(int(a), int(h), blocks[a], blocks[h]) for a, hs in partners.items() for h in hs]
-        pairs = F.broadcast(spark.createDataFrame(pair_rows, "leaf int, home int, own long, others long"))  # bounded by MAX_TILES squared, boxes apart left out
-        # Blocks of one tile meet once (a block goes to the homes up to its own), those of two tiles all.
-        block = F.pmod(F.xxhash64(F.lit(3), "rep"), "own")
-        upto = F.when(F.col("home") == F.col("leaf"), F.col("block")).otherwise(F.col("others") - 1)
-        number = lambda leaf, block: F.shiftleft(F.col(leaf).cast("long"), 40) + F.col(block)
-        work = tiles.join(pairs, "leaf").withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
-        work = work.select(number("home", "to").alias("home"), number("leaf", "block").alias("tile"), "rep", "copies", "vec")
-        work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").sortWithinPartitions("home", F.col("tile") != F.col("home"), "tile")
-        found = written(work.mapInArrow(_compare(rotation, threshold, steps_of(np.sort(values)[::-1])), "a long, b long, links long"), f"{path}/found")
-    else:
-        found = spark.createDataFrame([], "a long, b long, links long")
+    classes = good.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("d", F.size("v")), f"{path}/classes")
+    found = spark.createDataFrame([], "a long, b long, links long")
+    for d in sorted(r[0] for r in classes.select("d").distinct().collect()):  # one run for each dimension that occurs
+        found = found.unionByName(_linked(classes.where(F.col("d") == d), d, threshold, tile, f"{path}/{d}"))
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("links = 0").select("a", "b"), f"{path}/components").withColumnRenamed("node", "rep")
     # What holds for a class is joined per class; the rows then join it once, in a join that adaptive execution can split.
