@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a small side may be broadcast; every caller has a shuffle join beyond it.
 BROADCAST_ROWS = 250_000
+#: Rows that a written file of small rows may hold where their number is known: fewer tasks and files for small tables.
+FILE_ROWS = 250_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -20,9 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/tributary/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write a DataFrame and read it back: cuts the lineage with files that survive the loss of any executor."""
-    df.write.mode("overwrite").parquet(path)
+def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """Write a DataFrame and read it back: cuts the lineage with files that survive the loss of any executor.
+
+    ``rows``: about how many (small) rows it has at most, if that is known; it is written by as few tasks as they need.
+    """
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +50,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node with an edge.
 
-    ``edges``: two long columns ``a``, ``b``. Returns ``node``, ``component`` for nodes that have an edge to another
+    ``edges``: of a written table, two long columns ``a``, ``b``. Returns ``node``, ``component`` for nodes that have an edge to another
     node. Alternates large-star and small-star (a logarithmic number of rounds); each half takes the minimum with a
     partially aggregated groupBy and joins it back, so a hub's edges are never gathered in one task's memory. Every
     round is written to ``path``.
@@ -68,17 +73,18 @@ def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> D
         return moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e, seen, last = written(e, f"{path}/cc0"), None, f"{path}/cc0"
+    rows = edges.count()
+    e, seen, last = written(e, f"{path}/cc0", rows), None, f"{path}/cc0"
     for k in range(1, max_rounds + 1):
         now = f"{path}/cc{k}"
-        nxt = written(small_star(large_star(e)), now)
+        nxt = written(small_star(large_star(e)), now, rows)
         removed(spark, last)
         e, last = nxt, now
         sums = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         # A forest of stars: every node has one parent, and a further round changed nothing.
         if tuple(sums) == seen:
             break
-        seen = tuple(sums)
+        seen, rows = tuple(sums), sums[0]
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
