@@ -358,6 +358,24 @@ def test_toxicity_is_learned(spark):
     assert [w for w in toxicity.window_starts(80)] == [0, 24, 48] and toxicity.window_starts(5) == [0]
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    """Precision, recall and ranking on rows that were not learned from, with the few labels of the small scale (37 toxic)."""
+    sf = "/root/testdata/sf0.01"
+    out = toxicity.op6_toxicity(spark, sf).join(common.read_table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    toxic, said = out.toxic == 1, out.predicted == 1
+    assert said[toxic].mean() >= 0.5 and toxic[said].mean() >= 0.6
+    assert out.score.rank()[toxic].mean() - (toxic.sum() + 1) / 2 >= 0.75 * (~toxic).sum()  # area under the curve
+    assert ((out.score >= 0) & (out.score <= 1)).all()
+
+
+def test_toxicity_learns_from_long_documents_and_text_ids(spark):
+    t = lambda w: f"{w} " + "plain words here " * 800
+    docs = spark.createDataFrame([(f"a{i}", t("vile" if i % 2 else "kind")) for i in range(24)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"a{i}", i % 2) for i in range(24)], "doc_id string, toxic int")
+    model = toxicity.fit_model(docs, labels)
+    assert model is not None and toxicity.score_toxicity(docs, model).count() == 24
+
+
 def test_toxicity_schedule_does_not_depend_on_input_size(monkeypatch):
     learned = []
     monkeypatch.setattr(toxicity, "forward", lambda p, xp, ids, keep=False: (np.zeros(len(ids), np.float32), None) if keep else np.zeros(len(ids), np.float32))
