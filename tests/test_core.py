@@ -19,6 +19,8 @@ from tributary.plans import pipeline
 from tributary.sources import checkpoint, topic
 from tributary.sources.readers import KafkaReader, ParquetReader
 from tributary.streaming.sinks import DocumentWriter, KafkaWriter, ParquetWriter, trigger
+from tributary import fs
+from tributary.streaming import store
 from tributary.streaming.store import VersionedTable
 
 SF = "/root/testdata/sf0.001"
@@ -106,15 +108,15 @@ def test_copy_rules(spark):
     assert columns.ColumnRenamer(["a", "b"], ["b2", "b3"]).transform(df).columns == ["b2", "b3", "c"]
 
 
-M = cdc.Merge("id", "op", ("DL",), ("op",), {"op": ("PT", "UB", "UP", "DL")}, "ts")
+M = cdc.Merge("id", "op", ("gone",), ("op",), {"op": ("seen", "before", "after", "gone")}, "ts")
 
 
 def test_scd2_increments_equal_one_recompute(spark):
     r = random.Random(4)
     day = datetime.datetime(2024, 1, 1)
-    rows = [(f"k{k}", day + datetime.timedelta(days=r.randint(0, 6)), r.choice(["PT", "UB", "UP", "DL", None]), i, r.randint(0, 2)) for i, k in enumerate(r.randint(0, 200) for _ in range(1500))]
+    rows = [(f"k{k}", day + datetime.timedelta(days=r.randint(0, 6)), r.choice(["seen", "before", "after", "gone", None]), i, r.randint(0, 2)) for i, k in enumerate(r.randint(0, 200) for _ in range(1500))]
     df = spark.createDataFrame(rows, "id string, ts timestamp, op string, rank int, b int")
-    m = cdc.Merge("id", "op", ("DL",), ("op", "rank"), M.orders, "ts")  # also a user column called rank
+    m = cdc.Merge("id", "op", ("gone",), ("op", "rank"), M.orders, "ts")  # also a user column called rank
     whole = cdc.merge_scd2(None, df, m)
     step = None
     for b in range(3):
@@ -122,18 +124,18 @@ def test_scd2_increments_equal_one_recompute(spark):
         again = cdc.merge_scd2(step, df.where(f"b = {b}"), m)
         assert again.exceptAll(step).isEmpty() and step.exceptAll(again).isEmpty()
     assert whole.exceptAll(step).isEmpty() and step.exceptAll(whole).isEmpty()
-    bad = step.where("(op = 'DL' AND _end_date <> _start_date) OR _is_current <> (_end_date IS NULL) OR (op IS NULL AND NOT _is_current)")
+    bad = step.where("(op = 'gone' AND _end_date <> _start_date) OR _is_current <> (_end_date IS NULL) OR (op IS NULL AND NOT _is_current)")
     assert bad.isEmpty()
     with pytest.raises(Exception, match="null id or ts"):
-        cdc.merge_scd2(None, spark.createDataFrame([(None, day, "PT", 1, 0)], df.schema), m).collect()
+        cdc.merge_scd2(None, spark.createDataFrame([(None, day, "seen", 1, 0)], df.schema), m).collect()
 
 
 def test_snapshot_rules(spark):
-    m = cdc.Merge("id", "op", ("DL",), ("ts", "op"), M.orders)
-    cur = spark.createDataFrame([("a", 5, "PT"), ("b", 5, "PT"), ("c", 5, "UP"), ("d", 5, "UP")], "id string, ts int, op string")
-    new = spark.createDataFrame([("a", 1, "DL"), ("b", 4, "UP"), ("c", 4, "PT"), ("e", 1, None), ("f", 1, "DL"), ("d", 6, "AA")], cur.schema)
-    assert sorted(map(tuple, cdc.merge_snapshot(cur, new, m).collect())) == [("b", 4, "UP"), ("c", 5, "UP"), ("d", 6, "AA"), ("e", 1, None)]
-    assert ("b", 5, "PT") in [tuple(r) for r in cdc.merge_snapshot(cur, new, m, "lexicographic").collect()]
+    m = cdc.Merge("id", "op", ("gone",), ("ts", "op"), M.orders)
+    cur = spark.createDataFrame([("a", 5, "seen"), ("b", 5, "seen"), ("c", 5, "after"), ("d", 5, "after")], "id string, ts int, op string")
+    new = spark.createDataFrame([("a", 1, "gone"), ("b", 4, "after"), ("c", 4, "seen"), ("e", 1, None), ("f", 1, "gone"), ("d", 6, "odd")], cur.schema)
+    assert sorted(map(tuple, cdc.merge_snapshot(cur, new, m).collect())) == [("b", 4, "after"), ("c", 5, "after"), ("d", 6, "odd"), ("e", 1, None)]
+    assert ("b", 5, "seen") in [tuple(r) for r in cdc.merge_snapshot(cur, new, m, "lexicographic").collect()]
 
 
 def test_table_store(spark, tmp_path):
@@ -145,13 +147,61 @@ def test_table_store(spark, tmp_path):
     assert t.merge(df, lambda old, b: b, "q", 0) and not t.merge(df, lambda old, b: old, "q", 0)
     assert t.merge(df.where("k = 7"), lambda old, b: old.where("k <> 7"), "q", 1)
     assert sorted(r.k for r in t.read().collect()) == [i for i in range(50) if i != 7] and t.read().columns == ["k", "p"]
-    assert t.vacuum() > 0 and t.read().count() == 49
+    assert t.merge(df, lambda old, b: b, "q", 2) and t.read().count() == 50  # as large as the base: compacted
+    assert len(t.manifest()["segments"]) == 1 and t.vacuum() > 0 and t.read().count() == 50
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "x").write_text("x")
     with pytest.raises(ValueError):
         VersionedTable(spark, f"{tmp_path}/other").create_if_absent(df.schema, "k")
 
 
+def test_table_merges_many_batches_like_one_map(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MAX_SEGMENTS", 3)
+    monkeypatch.setattr(store, "GROWTH", 4)  # files of few rows are mostly overhead
+    r, want = random.Random(3), {}
+    t = VersionedTable(spark, f"{tmp_path}/t")
+    schema = T.StructType.fromDDL("k string, v int")
+    t.create_if_absent(schema, "k", [], 4)
+    sizes = [400, *[12] * 9, 300, 5]
+    segments = []
+    for b, n in enumerate(sizes):
+        rows = {f"k{r.randint(0, 300)}": None if r.random() < 0.2 else r.randint(0, 99) for _ in range(n)}
+        df = spark.createDataFrame(list(rows.items()), schema)
+        assert t.merge(df, lambda old, new: new.where("v IS NOT NULL"), "q", b) and not t.merge(df, lambda old, new: old, "q", b)
+        want = {k: v for k, v in {**want, **rows}.items() if v is not None}
+        assert {x.k: x.v for x in t.read().collect()} == want and t.read().count() == len(want)
+        segments.append(len(t.manifest()["segments"]))
+    assert max(segments) > 2 and segments[-1] < len(sizes)
+    t.vacuum()
+    assert {x.k: x.v for x in t.read().collect()} == want
+
+
+def test_table_loses_no_update_of_two_writers(spark, tmp_path):
+    one, two = VersionedTable(spark, f"{tmp_path}/t"), VersionedTable(spark, f"{tmp_path}/t")
+    row = lambda k: spark.createDataFrame([(k,)], "k long")
+    one.create_if_absent(row(1).schema, "k")
+    calls = []
+
+    def slow(old, new):
+        calls.append(1)
+        if len(calls) == 1:
+            two.merge(row(2), lambda old, new: new, "two", 0)  # the other writer comes first
+        return new
+
+    assert one.merge(row(1), slow, "one", 0) and len(calls) == 2
+    assert sorted(r.k for r in one.read().collect()) == [1, 2] and one.manifest()["version"] == 2
+    assert not fs.put_new(spark, f"{tmp_path}/t/versions/{2:010d}.json", "{}") and one.read().count() == 2
+
+
+def test_snapshot_refuses_a_null_key(spark):
+    m = cdc.Merge("id", "op", ("gone",), ("ts", "op"), M.orders)
+    cur = spark.createDataFrame([("a", 5, "seen")], "id string, ts int, op string")
+    with pytest.raises(Exception, match="null id in a change"):
+        cdc.merge_snapshot(cur, spark.createDataFrame([(None, 1, "after")], cur.schema), m).collect()
+    empty = cdc.merge_snapshot(cur, spark.createDataFrame([("a", None, None)], cur.schema), m).collect()
+    assert [tuple(r) for r in empty] == [("a", 5, "seen")]
+
+
 RECORD = {"type": "record", "name": "r", "namespace": "n", "fields": [
     {"name": "b", "type": "boolean"}, {"name": "i", "type": "int"}, {"name": "l", "type": ["null", "long"]}, {"name": "s", "type": ["string", "null"], "default": "abcd"},
     {"name": "d", "type": {"type": "bytes", "logicalType": "decimal", "precision": 8, "scale": 3}}, {"name": "x", "type": {"type": "fixed", "name": "f", "size": 2}},

@@ -74,19 +74,10 @@ def put_new(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so a reader sees the old or the new text."""
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
     fs, p = _at(spark, path)
-    side = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
-    out = fs.create(side, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(side, p):
-        raise OSError(f"could not move {side} to {path}")
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -54,13 +54,24 @@ def latest(df: DataFrame, m: Merge) -> DataFrame:
     return df.groupBy(F.col(quoted(m.key)).alias("k")).agg(best.alias("best")).where("best IS NOT NULL").select("best.row.*")
 
 
+def keyed(df: DataFrame, *names: str) -> DataFrame:
+    """``df``, which fails where one of the columns is null."""
+    bad = F.lit(False)
+    for x in names:
+        bad = bad | F.col(quoted(x)).isNull()
+    error = F.raise_error(F.lit(f"null {' or '.join(names)} in a change")).cast("boolean")
+    return df.where(F.when(bad, error).otherwise(F.lit(True)))
+
+
 def merge_snapshot(current: DataFrame, batch: DataFrame, m: Merge, update_rule: str = "any") -> DataFrame:
     """The snapshot after a batch. A delete always removes; an update needs any precombine column to be greater
-    (``any``), or the first that differs (``lexicographic``); an unmatched change inserts unless it deletes."""
+    (``any``), or the first that differs (``lexicographic``); an unmatched change inserts unless it deletes. Null keys are
+    an error."""
     cols = batch.columns
-    new = latest(batch, m)
-    n, c = new.select(F.struct(*(F.col(quoted(x)) for x in cols)).alias("n"), F.col(quoted(m.key)).alias("nk")), current.select(
-        F.struct(*(F.col(quoted(x)) for x in cols)).alias("c"), F.col(quoted(m.key)).alias("ck"))
+    new = latest(keyed(batch, m.key), m)
+    # A side that is absent is known by its struct and not by its key, so nulls inside rows can't be taken for absence.
+    n = new.select(F.struct(*(F.col(quoted(x)) for x in cols)).alias("n"), F.col(quoted(m.key)).alias("nk"))
+    c = current.select(F.struct(*(F.col(quoted(x)) for x in cols)).alias("c"), F.col(quoted(m.key)).alias("ck"))
     j = c.join(n, F.col("ck") == F.col("nk"), "full_outer")
 
     def place(side: str, x: str) -> Column:
@@ -72,8 +83,8 @@ def merge_snapshot(current: DataFrame, batch: DataFrame, m: Merge, update_rule:
         more = F.coalesce(place("n", x) > place("c", x), F.lit(False))
         greater = greater | more if update_rule == "any" else more | (place("n", x).eqNullSafe(place("c", x)) & greater)
     gone = F.coalesce(F.col(f"n.{quoted(m.operation)}").isin(*m.deletes), F.lit(False))
-    row = F.when(F.col("nk").isNull(), F.col("c")).when(F.col("ck").isNull(), F.col("n")).when(greater, F.col("n")).otherwise(F.col("c"))
-    return j.where(F.col("nk").isNull() | ~gone).select(row.alias("row")).select("row.*")
+    row = F.when(F.col("n").isNull(), F.col("c")).when(F.col("c").isNull(), F.col("n")).when(greater, F.col("n")).otherwise(F.col("c"))
+    return j.where(F.col("n").isNull() | ~gone).select(row.alias("row")).select("row.*")
 
 
 def scd2_schema(batch: T.StructType, timestamp: str) -> T.StructType:
@@ -93,9 +104,8 @@ def merge_scd2(history: DataFrame | None, batch: DataFrame, m: Merge) -> DataFra
     rows = batch.withColumn(old, F.lit(0))
     if history is not None:
         rows = rows.unionByName(history.select(*map(quoted, cols)).withColumn(old, F.lit(1)))
-    key, ts, op = (F.col(quoted(x)) for x in (m.key, m.timestamp, m.operation))
-    bad = key.isNull() | ts.isNull()
-    rows = rows.where(F.when(bad, F.raise_error(F.lit(f"null {m.key} or {m.timestamp} in a change")).cast("boolean")).otherwise(F.lit(True)))
+    ts, op = F.col(quoted(m.timestamp)), F.col(quoted(m.operation))
+    rows = keyed(rows, m.key, m.timestamp)
     order = [rank(rows, m, c).desc_nulls_last() for c in m.precombine] + [F.col(old).desc()]
     order += [F.col(quoted(f.name)).desc_nulls_last() for f in batch.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     rows = rows.withColumn(rn, F.row_number().over(Window.partitionBy(quoted(m.key), quoted(m.timestamp)).orderBy(*order))).where(F.col(rn) == 1)
