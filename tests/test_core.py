@@ -289,3 +289,78 @@ def test_dedup_after_a_failed_batch(spark, tmp_path, deduplicate):
 def test_date_version_rejects_bad_date():
     with pytest.raises(ValueError):
         columns.AddDateVersion("2024-13-01", "x")
+
+
+def test_batches_are_limited():
+    assert topic.limited({0: 0, 1: 5}, {0: 100, 1: 5}, 10) == {0: 10, 1: 5}
+    assert topic.limited({}, {0: 3, 1: 3}, 10) == {0: 3, 1: 3}
+    assert topic.limited({0: 0, 1: 0, 2: 0}, {0: 9, 1: 1, 2: 1}, 1) == {0: 1, 1: 0, 2: 0}
+    at, ends = {0: 0, 1: 0}, {0: 7, 1: 30}
+    for _ in range(10):
+        nxt = topic.limited(at, ends, 4)
+        assert at == ends or 0 < sum(nxt.values()) - sum(at.values()) <= 4
+        at = nxt
+    assert at == ends
+
+
+def test_http_registry(tmp_path):
+    """The REST client against a small server: registration, look-ups, credentials, passed-on options."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen, schemas_ = [], {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body):
+            text = json.dumps(body).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(text)))
+            self.end_headers()
+            self.wfile.write(text)
+
+        def do_POST(self):  # noqa: N802
+            seen.append((self.path, self.headers["Authorization"], self.headers["X-Team"]))
+            schemas_[len(schemas_) + 1] = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["schema"]
+            self.answer({"id": len(schemas_)})
+
+        def do_GET(self):  # noqa: N802
+            n = int(self.path.rsplit("/", 1)[1]) if "/ids/" in self.path else max(schemas_)
+            self.answer({"id": n, "schema": schemas_[n]})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "auth").write_text("  user:word \n")
+    conf = {"schema.registry.url": f"http://127.0.0.1:{server.server_port}/", "schema.registry.options.request.header.X-Team": "data"}
+    r = registries.client(Config({**conf, "schema.registry.basic.auth.user.info.file": f"{tmp_path}/auth"}))
+    assert r.register("t-value", {"type": "string"}) == 1 and r.by_id(1) == {"type": "string"} and r.latest("t-value") == (1, {"type": "string"})
+    token = registries.client(Config({**conf, "schema.registry.options.bearer.auth.token": "abc"}))
+    token.register("t-value", "int")
+    assert seen == [("/subjects/t-value/versions", "Basic dXNlcjp3b3Jk", "data"), ("/subjects/t-value/versions", "Bearer abc", "data")]
+    (tmp_path / "empty").write_text("\n")
+    with pytest.raises(ValueError):
+        registries.client(Config({**conf, "schema.registry.basic.auth.user.info.file": f"{tmp_path}/empty"}))
+    server.shutdown()
+
+
+class Loud(schemas.Converter):
+    """A plug-in: every required field becomes nullable."""
+
+    name = "loud"
+
+    def to_spark(self, schema):
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in schemas.to_spark(schema)])
+
+
+def test_converter_plug_in(spark, tmp_path):
+    conf = Config({"schema.registry.url": f"file:{tmp_path}", "topic": "t", "schema.converter": f"{__name__}.Loud"})
+    df = spark.createDataFrame([(1,)], T.StructType([T.StructField("id", T.IntegerType(), False)]))
+    sent = avro.AvroEncoder.from_config(conf, registry.Context()).transform(df)
+    out = avro.AvroDecoder.from_config(conf, registry.Context()).transform(sent)
+    assert out.schema["id"].nullable and out.first().id == 1
+    with pytest.raises(TypeError):
+        schemas.converter("decimal.Decimal")
+    with pytest.raises(ValueError):
+        schemas.converter("nowhere")

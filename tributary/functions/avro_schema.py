@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import json
+from importlib import import_module
 
 from pyspark.sql import types as T
 
@@ -204,3 +205,28 @@ def with_optional(schema, paths: list[str]):
                 raise ValueError(f"'{path}' is not nullable")
             f["type"], f["default"] = ["null", *(x for x in union if x != "null")], None
     return out
+
+
+class Converter:
+    """How Avro schemas become Spark types and the reverse; a plug-in subclasses it."""
+
+    name = "default"
+
+    def to_spark(self, schema) -> T.DataType:
+        return to_spark(schema)
+
+    def from_spark(self, row: T.StructType, name: str, namespace: str):
+        return from_spark(row, False, name, namespace)
+
+
+def converter(path: str | None) -> Converter:
+    """The converter under an import path (``package.module.Class``); none is the default one."""
+    if not path:
+        return Converter()
+    module, _, cls = path.rpartition(".")
+    if not module:
+        raise ValueError(f"'{path}' is no import path of a converter")
+    made = getattr(import_module(module), cls)()
+    if not isinstance(made, Converter):
+        raise TypeError(f"{path} is no converter")
+    return made

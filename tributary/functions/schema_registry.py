@@ -53,16 +53,25 @@ class FileRegistry:
 
 
 class HttpRegistry:
-    """A client of the registry's public REST interface."""
+    """A client of the registry's public REST interface.
 
-    def __init__(self, url: str, user_info: str | None = None):
-        self.url, self.user_info = url.rstrip("/"), user_info
+    Options: ``basic.auth.user.info`` (where none is given), ``bearer.auth.token``, ``request.header.<name>`` and
+    ``http.read.timeout.ms``; others are kept and have no meaning here.
+    """
+
+    def __init__(self, url: str, user_info: str | None = None, options: dict[str, str] | None = None):
+        self.url, self.options = url.rstrip("/"), dict(options or {})
+        self.user_info = user_info or self.options.get("basic.auth.user.info")
 
     def _call(self, path: str, body: dict | None = None) -> dict:
         head = {"Content-Type": "application/vnd.schemaregistry.v1+json"}
+        head |= {k.removeprefix("request.header."): v for k, v in self.options.items() if k.startswith("request.header.")}
         if self.user_info:
             head["Authorization"] = "Basic " + base64.b64encode(self.user_info.encode()).decode()
-        with urllib.request.urlopen(urllib.request.Request(self.url + path, json.dumps(body).encode() if body else None, head), timeout=30) as r:
+        elif token := self.options.get("bearer.auth.token"):
+            head["Authorization"] = f"Bearer {token}"
+        wait = int(self.options.get("http.read.timeout.ms", 30_000)) / 1000
+        with urllib.request.urlopen(urllib.request.Request(self.url + path, json.dumps(body).encode() if body else None, head), timeout=wait) as r:
             return json.load(r)
 
     def register(self, subject_: str, schema) -> int:
@@ -77,14 +86,15 @@ class HttpRegistry:
 
 
 def client(conf: Config):
-    """From ``schema.registry.url`` (``file:<folder>`` or http) and ``schema.registry.basic.auth.user.info.file``."""
+    """From ``schema.registry.url`` (``file:<folder>`` or http), ``schema.registry.basic.auth.user.info.file`` and
+    ``schema.registry.options.*``, which are passed on."""
     url = conf.require("schema.registry.url")
     if url.startswith("file:"):
-        return FileRegistry(url.removeprefix("file:"))
+        return FileRegistry("/" + url.removeprefix("file:").lstrip("/"))
     info = None
     if path := conf.get("schema.registry.basic.auth.user.info.file"):
         lines = Path(path).read_text().splitlines()
         if not lines or not lines[0].strip():
             raise ValueError(f"{path} is empty")
         info = lines[0].strip()
-    return HttpRegistry(url, info)
+    return HttpRegistry(url, info, dict(conf.subset("schema.registry.options")))

@@ -56,9 +56,9 @@ def _decoded(column: str, reader, registry, dt: T.DataType, name: str):
     return run
 
 
-def decode_column(df: DataFrame, column: str, reader, registry, name: str) -> DataFrame:
-    """Adds the decoded struct of a framed binary column; null stays null."""
-    dt = schemas.to_spark(reader)
+def decode_column(df: DataFrame, column: str, reader, registry, name: str, dt: T.DataType | None = None) -> DataFrame:
+    """Adds the decoded struct (of type ``dt``, that of the schema by default) of a framed binary column; null stays null."""
+    dt = dt or schemas.to_spark(reader)
     return df.mapInArrow(_decoded(column, reader, registry, dt, name), T.StructType([*df.schema.fields, T.StructField(name, dt, True)]))
 
 
@@ -69,19 +69,21 @@ class AvroDecoder(Transformer):
     properties = {"schema.registry.url": Property("Registry"), "value.schema.id": Property("Schema", "number or latest", False)}
     retained = {"reader.kafka.topic": "topic"}
 
-    def __init__(self, value_schema, registry, key_schema=None, keep: list[str] | None = None, keep_nulls: bool = False, context: Context | None = None):
+    def __init__(self, value_schema, registry, key_schema=None, keep: list[str] | None = None, keep_nulls: bool = False, context: Context | None = None,
+                 converter: schemas.Converter | None = None):
         self.value, self.registry, self.key, self.keep, self.keep_nulls, self.context = value_schema, registry, key_schema, keep or [], keep_nulls, context or Context()
+        self.converter = converter or schemas.Converter()
 
     @classmethod
     def from_config(cls, conf: Config, context: Context) -> AvroDecoder:
         r = registries.client(conf)
         keyed = conf.boolean("consume.keys")
         return cls(reader_schema(conf, r, conf.require("topic"), False), r, reader_schema(conf, r, conf.require("topic"), True) if keyed else None,
-                   conf.list("keep.columns", []), conf.boolean("disable.nullability.preservation"), context)
+                   conf.list("keep.columns", []), conf.boolean("disable.nullability.preservation"), context, schemas.converter(conf.get("schema.converter")))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        value = schemas.to_spark(self.value)
-        key = schemas.to_spark(self.key) if self.key is not None else T.StructType([])
+        value = self.converter.to_spark(self.value)
+        key = self.converter.to_spark(self.key) if self.key is not None else T.StructType([])
         prefix, n = "key__", 0
         while any(f.name.startswith(prefix) for f in value):
             n += 1
@@ -91,9 +93,9 @@ class AvroDecoder(Transformer):
             raise ValueError(f"columns clash: {sorted({x for x in names if names.count(x) > 1})}")
         df = df.select(*map(quoted, self.keep), *(["key"] if self.key is not None else []), "value") if not {"key", "value"} & set(self.keep) else df
         v, k = "__decoded_value", "__decoded_key"
-        df = decode_column(df, "value", self.value, self.registry, v)
+        df = decode_column(df, "value", self.value, self.registry, v, value)
         if self.key is not None:
-            df = decode_column(df, "key", self.key, self.registry, k)
+            df = decode_column(df, "key", self.key, self.registry, k, key)
             self.context.put(PREFIX, prefix)
             self.context.put(NAMES, [prefix + f.name for f in key])
         if not self.keep_nulls:
@@ -149,7 +151,7 @@ class AvroEncoder(Transformer):
     def register(self, fields: list[T.StructField], is_key: bool) -> tuple[object, int]:
         s = _settings(self.conf, is_key)
         name, ns = s.get("record.name", "topLevelRecord"), s.get("record.namespace", "")
-        made = schemas.from_spark(T.StructType(fields), False, name, ns)
+        made = schemas.converter(self.conf.get("schema.converter")).from_spark(T.StructType(fields), name, ns)
         optional = self.conf.list(f"{'key' if is_key else 'value'}.optional.fields", [])
         made = schemas.with_optional(made, optional) if optional else made
         return made, self.registry.register(registries.subject(s.get("naming.strategy", "topic.name"), self.topic, name, ns, is_key), made)

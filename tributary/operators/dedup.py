@@ -91,7 +91,7 @@ class TopicDeduplicator(Transformer):
         source = topic.read_batch(spark, rb, rt, {p: start.get(p, 0) for p in end}, end, **options)
         n = source.count()
         everything = topic.read_batch(spark, wb, wt, **options)
-        ends = {r[0]: r[1] + 1 for r in everything.groupBy("partition").agg(F.max("offset")).collect()} if not wb.startswith("file:") else topic.end_offsets(wb.removeprefix("file:"), wt)
+        ends = {r[0]: r[1] + 1 for r in everything.groupBy("partition").agg(F.max("offset")).collect()} if not wb.startswith("file:") else topic.end_offsets(topic.local_path(wb), wt)
         sink = topic.at_least_latest(spark, wb, wt, dict.fromkeys(ends, n), ends, **options)
         a = ids_of(source, self.source_ids, self._schemas(rt, self.source_ids), self.registry)
         b = ids_of(sink, self.sink_ids, self._schemas(wt, self.sink_ids), self.registry)

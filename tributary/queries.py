@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.functions import schema_registry
-from tributary.operators import avro, cdc, columns
+from tributary import fs
+from tributary.config import Config
+from tributary.functions import avro_schema, schema_registry
+from tributary.operators import avro, cdc, columns, dedup
 from tributary.plans import pipeline
 from tributary.sources import checkpoint, topic
 from tributary.sources.readers import KafkaReader, ParquetReader
 from tributary.streaming.cdc import HistoryWriter, SnapshotWriter
-from tributary.streaming.sinks import KafkaWriter, ParquetWriter
+from tributary.streaming.sinks import DocumentWriter, KafkaWriter, ParquetWriter
 from tributary.streaming.store import VersionedTable
 
 ONCE = {"once": True}
@@ -24,10 +25,26 @@ HISTORY = cdc.Merge("user_id", "event_type", ("error",), ("event_type", "event_i
 SNAPSHOT = cdc.Merge("user_id", "event_type", ("error",), ("day", "event_type"), {"event_type": OPS})
 
 
+#: Avro types by field name; expected Spark types are in the SQL.
+AVRO_TYPES = (
+    ("a_boolean", "boolean"), ("a_int", "int"), ("a_long", "long"), ("a_float", "float"), ("a_double", "double"), ("a_string", "string"), ("a_bytes", "bytes"),
+    ("an_enum", {"type": "enum", "name": "e", "symbols": ["A", "B"]}), ("a_fixed", {"type": "fixed", "name": "f", "size": 3}),
+    ("a_date", {"type": "int", "logicalType": "date"}), ("millis", {"type": "long", "logicalType": "timestamp-millis"}), ("micros", {"type": "long", "logicalType": "timestamp-micros"}),
+    ("a_decimal", {"type": "bytes", "logicalType": "decimal", "precision": 8, "scale": 3}),
+    ("a_fixed_decimal", {"type": "fixed", "name": "g", "size": 5, "logicalType": "decimal", "precision": 10, "scale": 2}),
+    ("an_array", {"type": "array", "items": ["null", "double"]}), ("a_map", {"type": "map", "values": "int"}),
+    ("a_record", {"type": "record", "name": "inner", "fields": [{"name": "x", "type": ["null", "string"]}]}),
+    ("nullable", ["null", "string"]), ("int_or_long", ["int", "long"]), ("float_or_double", ["null", "float", "double"]), ("a_union", ["null", "boolean", "int", "double"]),
+)
+
+
 def work(spark: SparkSession) -> str:
-    """A new folder for sinks and checkpoints: in the shared checkpoint folder where there is one."""
+    """A new folder for sinks, checkpoints, topics and registries: in the shared checkpoint folder, which only a local master
+    may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tributary-")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,22 +165,22 @@ def scd2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VersionedTable(spark, f"{d}/table").read().select("o_custkey", "o_orderkey", F.col("_start_date").cast("string").alias("start_date"), F.col("_end_date").cast("string").alias("end_date"), F.col("_is_current").alias("is_current"))
 
 
-def _registry() -> schema_registry.FileRegistry:
-    return schema_registry.FileRegistry(tempfile.mkdtemp(prefix="tributary-registry-"))
+def _registry(spark: SparkSession) -> schema_registry.FileRegistry:
+    return schema_registry.client(Config({"schema.registry.url": work(spark)}))
 
 
 def avro_roundtrip_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, df = _registry(), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    sent = avro.AvroEncoder("events", r, avro.Config({})).transform(df)
+    r, df = _registry(spark), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    sent = avro.AvroEncoder("events", r, Config({})).transform(df)
     return avro.AvroDecoder(r.latest("events-value")[1], r).transform(sent)
 
 
 def _keyed(spark: SparkSession, sf_dir: str):
-    context, r = avro.Context(), _registry()
+    context, r = avro.Context(), _registry(spark)
     df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key__id"), "o_custkey", "o_orderstatus", "o_totalprice")
     context.put(avro.PREFIX, "key__")
     context.put(avro.NAMES, ["key__id"])
-    return avro.AvroEncoder("orders", r, avro.Config({}), True, context).transform(df), r
+    return avro.AvroEncoder("orders", r, Config({}), True, context).transform(df), r
 
 
 def avro_roundtrip_keyvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +195,12 @@ def avro_keep_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events encoded into a topic, streamed to another topic and decoded."""
-    d, r = tempfile.mkdtemp(prefix="tributary-topic-"), _registry()
+    d, r = topic.local_path(work(spark)), _registry(spark)
     for t in ("in", "out"):
         topic.create_topic(d, t, 3)
     topic.register(spark)
     df = table(spark, sf_dir, "nation")
-    avro.AvroEncoder("in", r, avro.Config({})).transform(df).write.format("topic").mode("append").option("path", d).option("topic", "in").save()
+    avro.AvroEncoder("in", r, Config({})).transform(df).write.format("topic").mode("append").option("path", d).option("topic", "in").save()
     q = pipeline.start(spark, KafkaReader("in", f"file:{d}", f"{d}/checkpoint"), [columns.ColumnSelector(["key", "value"])], KafkaWriter("out", f"file:{d}", f"{d}/checkpoint", ONCE))
     pipeline.finish(q)
     return avro.AvroDecoder(r.latest("in-value")[1], r).transform(topic.read_batch(spark, f"file:{d}", "out"))
@@ -196,10 +213,191 @@ def uncommitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(checkpoint.uncommitted_files(spark, out)), len(checkpoint.committed_files(spark, out)) > 0)], "strays long, has_log boolean")
 
 
+def _sent(spark: SparkSession, df: DataFrame, d: str, name: str, registry: schema_registry.FileRegistry) -> None:
+    rows = avro.AvroEncoder(name, registry, Config({})).transform(df)
+    rows.write.format("topic").mode("append").option("path", d).option("topic", name).save()
+
+
+def _deduplicated(spark: SparkSession, sf_dir: str, deduplicate: bool) -> DataFrame:
+    """Customers through two topics in two batches; the second was written but not committed, and runs again."""
+    d, at, r = topic.local_path(work(spark)), work(spark), _registry(spark)
+    for t, n in (("in", 3), ("out", 2)):
+        topic.create_topic(d, t, n)
+    topic.register(spark)
+    ids = ["value.c_custkey"]
+
+    def run() -> None:
+        schema = r.latest("in-value")[1]
+        step = dedup.TopicDeduplicator(("in", f"file:{d}"), ("out", f"file:{d}"), at, ids, ids, r, lambda t, key: schema)
+        steps = [avro.AvroDecoder(schema, r), *([step] if deduplicate else []), avro.AvroEncoder("out", r, Config({}))]
+        reader, writer = KafkaReader("in", f"file:{d}", at), KafkaWriter("out", f"file:{d}", at, ONCE)
+        pipeline.finish(pipeline.start(spark, reader, steps, writer))
+
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    for part in (people.where("c_custkey % 3 = 0"), people.where("c_custkey % 3 <> 0")):
+        _sent(spark, part, d, "in", r)
+        run()
+    for f in ("1", ".1.crc"):
+        fs.delete(spark, f"{at}/commits/{f}")
+    run()
+    return avro.AvroDecoder(r.latest("out-value")[1], r).transform(topic.read_batch(spark, f"file:{d}", "out"))
+
+
+def dedup_after_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the de-duplicator a batch that runs again adds nothing."""
+    return _deduplicated(spark, sf_dir, True)
+
+
+def retry_without_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without it the records of the batch are written twice: at least once."""
+    return _deduplicated(spark, sf_dir, False)
+
+
+def topic_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest records of each partition between offsets: counts, least and greatest offset by partition."""
+    d = topic.local_path(work(spark))
+    topic.create_topic(d, "t", 4)
+    topic.register(spark)
+    keyed = table(spark, sf_dir, "nation").select(F.encode("n_name", "UTF-8").alias("key"), F.encode("n_name", "UTF-8").alias("value"))
+    keyed.coalesce(1).write.format("topic").mode("append").option("path", d).option("topic", "t").save()
+    ends = topic.end_offsets(d, "t")
+    tail = topic.at_least_latest(spark, f"file:{d}", "t", dict.fromkeys(ends, 3), ends)
+    got = tail.groupBy("partition").agg(F.count("*").alias("n"), (F.max("offset") - F.min("offset") + 1).alias("span"))
+    whole = spark.createDataFrame(list(ends.items()), "partition int, total long")
+    fine = (F.col("n") == F.least("total", F.lit(3))) & (F.col("span") == F.col("n"))
+    return whole.where("total > 0").join(got, "partition", "left").agg(F.sum("total").alias("records"), F.min(fine).alias("tails_fit"))
+
+
+def rate_limited_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 records at most 10 a micro-batch, and after a restart."""
+    d, at = topic.local_path(work(spark)), work(spark)
+    topic.create_topic(d, "in", 3)
+    topic.register(spark)
+    rows = table(spark, sf_dir, "nation").select(F.encode("n_name", "UTF-8").alias("key"), F.encode("n_name", "UTF-8").alias("value"))
+    writer = ParquetWriter(f"{at}/out", {"processingTime": "0 seconds"}, f"{at}/checkpoint")
+    for _ in range(2):
+        rows.write.format("topic").mode("append").option("path", d).option("topic", "in").save()
+        reader = KafkaReader("in", f"file:{d}", f"{at}/checkpoint", {"maxOffsetsPerTrigger": "10"})
+        query = pipeline.start(spark, reader, [], writer)
+        pipeline.finish(query, "ProcessAllAvailable")
+    out = spark.read.parquet(f"{at}/out")
+    batches_ = checkpoint.latest_offsets(spark, f"{at}/checkpoint")[0] + 1
+    names = out.select(F.decode("value", "UTF-8").alias("n_name")).groupBy("n_name").agg(F.count("*").alias("copies"))
+    return names.withColumn("batches", F.lit(batches_).cast("long"))
+
+
+def null_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a value are dropped; those with one keep their columns."""
+    r, df = _registry(spark), table(spark, sf_dir, "events").select("event_id", "event_type")
+    sent = avro.AvroEncoder("events", r, Config({})).transform(df.where("event_id % 5 <> 0"))
+    nulls = df.where("event_id % 5 = 0").select(F.lit(None).cast("binary").alias("value"))
+    return avro.AvroDecoder(r.latest("events-value")[1], r).transform(sent.unionByName(nulls))
+
+
+def naming_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each strategy registers under its own subject, which a decoder finds by the same settings, or by number."""
+    out = None
+    for k, strategy in enumerate(("topic.name", "record.name", "topic.record.name")):
+        at = work(spark)
+        own = {"schema.registry.url": at, "topic": "t", "value.schema.naming.strategy": strategy, "value.schema.record.name": "region", "value.schema.record.namespace": "geo"}
+        conf = Config(own)
+        sent = avro.AvroEncoder.from_config(conf, avro.Context()).transform(table(spark, sf_dir, "region"))
+        subject = ("t-value", "geo.region", "t-geo.region")[k]
+        number = schema_registry.client(conf).latest(subject)[0]
+        for said in ("latest", str(number)):
+            step = avro.AvroDecoder.from_config(Config({**own, "value.schema.id": said}), avro.Context())
+            part = step.transform(sent).withColumn("subject", F.lit(subject)).withColumn("by_number", F.lit(said != "latest"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def optional_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields made optional in the registered schema, also inside a struct; rows stay as they are."""
+    r = _registry(spark)
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.struct("s_name", "s_acctbal").alias("detail"), F.col("s_nationkey").alias("nation"))
+    sent = avro.AvroEncoder("s", r, Config({"value.optional.fields": "nation,detail.s_name"})).transform(df)
+    schema = r.latest("s-value")[1]
+    of = {f["name"]: f for f in schema["fields"]}
+    inner = next(b for b in of["detail"]["type"] if isinstance(b, dict)) if isinstance(of["detail"]["type"], list) else of["detail"]["type"]
+    name = next(f for f in inner["fields"] if f["name"] == "s_name")
+    said = all(f["type"][0] == "null" and "default" in f and f["default"] is None for f in (of["nation"], name))
+    out = avro.AvroDecoder(schema, r).transform(sent)
+    return out.select("id", "nation", F.col("detail.s_name").alias("s_name"), F.lit(said).alias("optional"))
+
+
+def avro_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark type of every Avro type: primitive, logical, nested, nullable and union."""
+    record = {"type": "record", "name": "r", "fields": [{"name": n, "type": t} for n, t in AVRO_TYPES]}
+    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in avro_schema.to_spark(record)]
+    return spark.createDataFrame(rows, "field string, spark_type string, nullable boolean")
+
+
+def avro_rich_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals, dates, timestamps, binaries, arrays, maps and structs there and back."""
+    r, df = _registry(spark), table(spark, sf_dir, "orders")
+    df = df.select(
+        "o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"),
+        F.col("o_orderdate").cast("timestamp").alias("at"), F.encode("o_orderstatus", "UTF-8").alias("raw"),
+        F.array("o_orderstatus", F.lit(None)).alias("list"), F.create_map("o_orderstatus", "o_custkey").alias("map"), F.struct("o_custkey", F.lit(None).cast("int").alias("none")).alias("s"))
+    out = _there_and_back(r, df)
+    return out.select(
+        "o_orderkey", (F.col("price") * 100).cast("long").alias("cents"), F.col("day").cast("string").alias("day"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.decode("raw", "UTF-8").alias("raw"), F.size("list").cast("long").alias("n"), F.col("list")[1].isNull().alias("no_second"),
+        F.element_at("map", F.col("list")[0]).alias("mapped"), F.col("s.o_custkey").alias("custkey"), F.col("s.none").isNull().alias("none"))
+
+
+def _there_and_back(r: schema_registry.FileRegistry, df: DataFrame) -> DataFrame:
+    sent = avro.AvroEncoder("o", r, Config({})).transform(df)
+    return avro.AvroDecoder(r.latest("o-value")[1], r).transform(sent)
+
+
+def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches of documents, the second after a restart; read back from the folder of JSON lines."""
+    d = work(spark)
+    for part in ("nation", "region"):
+        source = table(spark, sf_dir, part).select(F.col(f"{part[0]}_name").alias("name"), F.lit(part).alias("kind"))
+        source.write.mode("append").parquet(f"{d}/in")
+        writer = DocumentWriter(ONCE, f"{d}/checkpoint", f"{d}/docs", "db", "places")
+        pipeline.finish(pipeline.start(spark, ParquetReader(f"{d}/in"), [], writer))
+    return spark.read.json(f"{d}/docs/db/places").select("name", "kind", F.col("batch").cast("long").alias("batch"))
+
+
+def scd2_upsert_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert history writer, composed from configuration, in two batches; the table doesn't exist before the first."""
+    d = work(spark)
+    own = "writer.hudicdctoscd2"
+    conf = Config({
+        "component.reader": "parquet-reader", "reader.parquet.source.directory": f"{d}/in", "component.writer": "cdc-scd2-upsert-writer",
+        "writer.common.checkpoint.location": f"{d}/checkpoint", f"{own}.destination.directory": f"{d}/table", f"{own}.key.column": "user_id",
+        f"{own}.timestamp.column": "day", f"{own}.operation.column": "event_type", f"{own}.operation.deleted.values": "error",
+        f"{own}.precombineColumns": "event_type, event_id", f"{own}.precombineColumns.customOrder.event_type": ", ".join(OPS),
+    })
+    for part in batches(spark, sf_dir, 2):
+        part.write.mode("append").parquet(f"{d}/in")
+        pipeline.run(spark, conf)
+    return _history(VersionedTable(spark, f"{d}/table").read())
+
+
+def composed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reader, transformers in the order of their numbers and writer from dotted configuration."""
+    d = work(spark)
+    conf = Config.from_lines([
+        "component.reader=parquet-reader", f"reader.parquet.source.directory={sf_dir}/customer*.parquet", "component.writer=parquet-writer",
+        f"root={d}", "writer.parquet.destination.directory=${root}/out", "writer.common.checkpoint.location=${root}/checkpoint",
+        "writer.parquet.partition.columns=segment", "component.transformer.id.2=rename", "component.transformer.id.-1=pick",
+        "component.transformer.class.pick=column-selector", "transformer.pick.columns.to.select=c_custkey, c_mktsegment",
+        "component.transformer.class.rename=column-renamer", "transformer.rename.columns.rename.from=c_mktsegment", "transformer.rename.columns.rename.to=segment",
+        "ingestor.spark.termination.method=AwaitTermination",
+    ])
+    pipeline.run(spark, conf)
+    return spark.read.parquet(f"{d}/out").select("c_custkey", "segment")
+
+
 QUERIES = (
     parquet_passthrough, parquet_partitioned, select_all, select_subset, rename_chain, copy_nested_flat, date_version_first, date_version_second, audit_columns,
     sort_rank_custom, snapshot_one_batch, snapshot_two_batches, scd2_one_batch, scd2_two_batches, scd2_redelivery, scd2_stream, avro_roundtrip_value,
-    avro_roundtrip_keyvalue, avro_keep_columns, topic_passthrough, uncommitted_files,
+    avro_roundtrip_keyvalue, avro_keep_columns, topic_passthrough, uncommitted_files, dedup_after_failed_batch, retry_without_dedup, topic_tail,
+    rate_limited_topic, null_payloads, naming_strategies, optional_fields, avro_type_map, avro_rich_rows, document_sink, scd2_upsert_writer, composed_pipeline,
 )
 
 
@@ -253,5 +451,25 @@ SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS star
         "avro_roundtrip_keyvalue": _KEYVALUE,
         "avro_keep_columns": "SELECT 'orders' AS source, o_custkey, o_orderstatus, o_totalprice FROM orders",
         "topic_passthrough": "SELECT * FROM nation",
+        "dedup_after_failed_batch": "SELECT c_custkey, c_mktsegment FROM customer",
+        "retry_without_dedup": "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0",
+        "topic_tail": "SELECT count(*) AS records, true AS tails_fit FROM nation",
+        "rate_limited_topic": "SELECT n_name, CAST(2 AS BIGINT) AS copies, CAST(6 AS BIGINT) AS batches FROM nation",
+        "null_payloads": "SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0",
+        "naming_strategies": """
+SELECT r.*, s.subject, b.by_number FROM region r, (VALUES ('t-value'), ('geo.region'), ('t-geo.region')) s(subject), (VALUES (true), (false)) b(by_number)""",
+        "optional_fields": "SELECT s_suppkey AS id, s_nationkey AS nation, s_name, true AS optional FROM supplier",
+        "avro_type_map": """
+SELECT * FROM (VALUES ('a_boolean', 'boolean', false), ('a_int', 'int', false), ('a_long', 'bigint', false), ('a_float', 'float', false), ('a_double', 'double', false),
+  ('a_string', 'string', false), ('a_bytes', 'binary', false), ('an_enum', 'string', false), ('a_fixed', 'binary', false), ('a_date', 'date', false),
+  ('millis', 'timestamp', false), ('micros', 'timestamp', false), ('a_decimal', 'decimal(8,3)', false), ('a_fixed_decimal', 'decimal(10,2)', false),
+  ('an_array', 'array<double>', false), ('a_map', 'map<string,int>', false), ('a_record', 'struct<x:string>', false), ('nullable', 'string', true),
+  ('int_or_long', 'bigint', false), ('float_or_double', 'double', true), ('a_union', 'struct<member0:boolean,member1:int,member2:double>', true)) t(field, spark_type, nullable)""",
+        "avro_rich_rows": """
+SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(12,2)) * 100) AS BIGINT) AS cents, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at,
+       o_orderstatus AS raw, CAST(2 AS BIGINT) AS n, true AS no_second, o_custkey AS mapped, o_custkey AS custkey, true AS none FROM orders""",
+        "document_sink": "SELECT n_name AS name, 'nation' AS kind, CAST(0 AS BIGINT) AS batch FROM nation UNION ALL SELECT r_name, 'region', 1 FROM region",
+        "scd2_upsert_writer": _SCD2,
+        "composed_pipeline": "SELECT c_custkey, c_mktsegment AS segment FROM customer",
         "uncommitted_files": "SELECT CAST(1 AS BIGINT) AS strays, true AS has_log",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary import fs
 from tributary.config import Config
 from tributary.registry import Context, Property, Reader, component
+from tributary.sources import checkpoint
 from tributary.sources import topic as topics
 
 log = logging.getLogger(__name__)
@@ -34,7 +36,11 @@ class KafkaReader(Reader):
 
     @classmethod
     def from_config(cls, conf: Config, context: Context) -> KafkaReader:
-        return cls(conf.require("reader.kafka.topic"), ",".join(conf.list("reader.kafka.brokers")), conf.require("writer.common.checkpoint.location"), dict(conf.subset(cls.extra_prefix)))
+        brokers, options = ",".join(conf.list("reader.kafka.brokers")), dict(conf.subset(cls.extra_prefix))
+        if brokers.startswith("file:") and conf.get("writer.common.trigger.type", "Once").strip().lower() != "processingtime":
+            # As Kafka's source does: one batch takes all there is. (Kafka splits it under AvailableNow, the topic log doesn't.)
+            options = {k: v for k, v in options.items() if k.lower() != "maxoffsetspertrigger"}
+        return cls(conf.require("reader.kafka.topic"), brokers, conf.require("writer.common.checkpoint.location"), options)
 
     def read(self, spark: SparkSession) -> DataFrame:
         alive(spark)
@@ -42,6 +48,8 @@ class KafkaReader(Reader):
         r = topics.source(spark, spark.readStream, self.brokers).option("subscribe", self.topic)
         if fs.is_empty(spark, self.checkpoint):
             r = r.option("startingOffsets", "earliest")
+        elif self.brokers.startswith("file:") and (done := checkpoint.latest_committed_offsets(spark, self.checkpoint)):
+            r = r.option("committedOffsets", json.dumps(done[1].get(self.topic, done[1])))
         return r.options(**self.options).load()
 
 

@@ -32,6 +32,11 @@ def _segments(path: str, topic: str, partition: int) -> list[tuple[int, Path]]:
     return sorted((int(f.stem), f) for f in (Path(path) / topic / str(partition)).glob("*.jsonl"))
 
 
+def local_path(uri: str) -> str:
+    """The folder that a ``file:`` URI names."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
 def end_offsets(path: str, topic: str) -> dict[int, int]:
     """Next offset of each partition. Segments end with the offset of their last record, so gaps are fine."""
     out = {}
@@ -111,17 +116,42 @@ class TopicReader(DataSourceReader):
         return _rows(self.path, self.topic, partition)
 
 
+def limited(start: dict[int, int], ends: dict[int, int], most: int) -> dict[int, int]:
+    """Ends of the next batch of at most ``most`` records, shared out by what each partition has left; the rest of the
+    division goes to the partitions of smallest number, so a batch is never empty while there are records."""
+    left = {p: max(0, e - start.get(p, 0)) for p, e in ends.items()}
+    total = sum(left.values())
+    if total <= most:
+        return ends
+    share = {p: most * n // total for p, n in left.items()}
+    spare = most - sum(share.values())
+    for p in sorted(left):
+        more = min(spare, left[p] - share[p])
+        share[p], spare = share[p] + more, spare - more
+    return {p: start.get(p, 0) + share[p] for p in ends}
+
+
 class TopicStreamReader(DataSourceStreamReader):
+    """``maxOffsetsPerTrigger`` limits a micro-batch. ``committedOffsets`` tells a restarted query where its checkpoint stands,
+    since the engine asks for the next end without saying from where."""
+
     def __init__(self, o: dict):
         self.path, self.topic, self.o = o["path"], o["subscribe"], dict(o)
+        self.at = {int(p): int(x) for p, x in json.loads(o["committedoffsets"]).items()} if o.get("committedoffsets") else None
 
     def initialOffset(self) -> dict:
         return {str(p): x for p, x in _starting(self.o, self.path, self.topic).items()}
 
     def latestOffset(self) -> dict:
-        return {str(p): x for p, x in end_offsets(self.path, self.topic).items()}
+        ends = end_offsets(self.path, self.topic)
+        if most := self.o.get("maxoffsetspertrigger"):
+            if int(most) < 1:
+                raise ValueError("maxOffsetsPerTrigger must be positive")
+            ends = limited(_starting(self.o, self.path, self.topic) if self.at is None else self.at, ends, int(most))
+        return {str(p): x for p, x in ends.items()}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
+        self.at = {int(p): int(x) for p, x in end.items()}
         return [Range(int(p), int(start.get(p, 0)), int(e)) for p, e in end.items() if int(e) > int(start.get(p, 0))]
 
     def read(self, partition: Range) -> Iterator[tuple]:
@@ -197,7 +227,7 @@ def source(spark: SparkSession, r, brokers: str):
     """A reader or writer of ``kafka``, or of ``topic`` where the brokers are ``file:<path>``."""
     if brokers.startswith("file:"):
         register(spark)
-        return r.format("topic").option("path", brokers.removeprefix("file:"))
+        return r.format("topic").option("path", local_path(brokers))
     return r.format("kafka").option("kafka.bootstrap.servers", brokers)
 
 
