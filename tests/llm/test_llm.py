@@ -9,8 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tributary.llm import catalog, chat, common, decontam, embedding, jaccard, line_dedup, packing, pii, secrets, token_counts, toxicity
+from tributary.llm import catalog, chat, common, decontam, embedding, jaccard, line_dedup, packing, pii, pipeline, secrets, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, n int, rep long, w string, component long"
@@ -595,14 +594,76 @@ def test_near_boxes_equal_all_pairs():
     assert want == set(zip(*(x.tolist() for x in embedding.near_boxes(los, his, 0.05, 16)), strict=True))
 
 
+def tables(spark, path, **frames):
+    for name, df in frames.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage's decisions over the small tables, found again in plain Python from what its predecessor kept."""
+    docs = common.read_table(spark, SF, "documents")
+    first = pipeline.drop_toxic(spark, docs, SF).collect()
+    model = toxicity.fit_model(docs, common.read_table(spark, SF, "labels"))
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert sorted(r.doc_id for r in first) == sorted(i for i, x in scores.items() if x < toxicity.THRESHOLD)
+    # Lines: keys of three documents or more stay in the largest only.
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
+    where = {}
+    for r in first:
+        for x in {key(x) for x in (r.text or "").split("\n")}:
+            where.setdefault(x, set()).add(r.doc_id)
+    gone = lambda x, i: len(key(x)) >= 20 and len(where[key(x)]) >= 3 and max(where[key(x)]) != i
+    texts = {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if not gone(x, r.doc_id)) for r in first}
+    one = common.written(spark.createDataFrame(first, docs.schema), f"{tmp_path}/1")
+    two = pipeline.drop_shared_lines(spark, one, SF)
+    assert {r.doc_id: (r.text, r.n_chars) for r in two.collect()} == {i: (t, len(t)) for i, t in texts.items()}
+    # Near copies: the least document of each component.
+    word = lambda t: t.translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER)).encode().split()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, t in texts.items() for w in [word(t)]}
+    comp = {i: i for i in sets}
+    for _ in range(4):
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    two = common.written(two, f"{tmp_path}/2")
+    three = common.written(pipeline.drop_near_duplicates(spark, two, SF), f"{tmp_path}/3")
+    assert sorted(r.doc_id for r in three.collect()) == sorted(i for i, c in comp.items() if i == c)
+    # Benchmark items without slots: half of an item's windows of eight words, or a quote of fifty.
+    grams = lambda t: {tuple(w[i : i + 8]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 7)}
+    items = [g for r in common.read_table(spark, SF, "benchmark").collect() if (g := grams(r.text or ""))]
+    bad = {i for i, t in texts.items() if comp[i] == i and any(len(grams(t) & g) >= min(0.5 * len(g), 43) for g in items)}
+    four = pipeline.drop_contaminated(spark, three, SF)
+    assert sorted(r.doc_id for r in four.collect()) == sorted(i for i, c in comp.items() if i == c and i not in bad)
+    # The run is the stages one after another.
+    assert {r.doc_id for r in pipeline.run(spark, SF).collect()} == {i for i, c in comp.items() if i == c and i not in bad}
+
+
+def test_pipeline_of_odd_rows_and_of_no_rows(spark, tmp_path, odd, none):
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no such words are in any text of this table")], "item_id long, text string")
+    some = tables(spark, tmp_path / "odd", documents=odd.select(*pipeline.COLUMNS, "score"), labels=labels, benchmark=bench)
+    ids = [1, 2, 3, 4, 4, 5, 6, 7, 8, None]
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, common.read_table(spark, some, "documents"), some)
+        assert out.columns == pipeline.COLUMNS
+        gone = {5} if name == "near_duplicates" else set()
+        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((i for i in ids if i not in gone), key=str), name
+    packed = pipeline.run(spark, some).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3, 4, 6, 7, 8, None} and sum(r.doc_id == 4 for r in packed) == 2
+    empty = tables(spark, tmp_path / "none", documents=none.select(*pipeline.COLUMNS), labels=labels, benchmark=bench)
+    assert pipeline.run(spark, empty).count() == 0
+
+
 def test_pipeline_stages(spark):
-    out = corpus_pipeline.run(spark, SF).toPandas()
+    out = pipeline.run(spark, SF).toPandas()
     docs = {r.doc_id for r in common.read_table(spark, SF, "documents").collect()}
     assert set(out.doc_id) <= docs and len(set(out.doc_id)) > len(docs) / 2 and out.groupby("sequence_id").length.sum().max() <= 2048
-    assert len(corpus_pipeline.STAGES) == 5
+    assert len(pipeline.STAGES) == 5
 
 
 def test_filtering_stages_keep_odd_rows(spark, odd):
-    for stage, gone in ((corpus_pipeline.drop_near_duplicates, {5}), (corpus_pipeline.drop_contaminated, set())):
+    for stage, gone in ((pipeline.drop_near_duplicates, {5}), (pipeline.drop_contaminated, set())):
         out = [r.doc_id for r in stage(spark, odd, SF).collect()]
         assert sorted(out, key=str) == sorted([i for i in (1, 2, 3, 4, 4, 5, 6, 7, 8, None) if i not in gone], key=str)

@@ -6,12 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import chat, decontam, embedding, jaccard, line_dedup, packing, pii, secrets, token_counts, toxicity
+from tributary.llm import chat, decontam, embedding, jaccard, line_dedup, packing, pii, pipeline, secrets, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_secret_scan": secrets.op2_secret_scan,
@@ -23,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_embedding_dedup": embedding.op10_embedding_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
