@@ -1,70 +1,8 @@
-"""Corpus pipeline: toxicity, line deduplication, near-duplicates, benchmark decontamination, packing."""
+"""Corpus pipeline: toxicity, line deduplication, near-duplicates, benchmark decontamination, packing.
 
-from __future__ import annotations
+The stages are in ``tributary.llm.pipeline``.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tributary.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from tributary.llm import common, decontam, jaccard, line_dedup, packing, toxicity
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The network's scores can't be expressed in SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id (a null counts as one) is in ``verdicts``; the join is on the id alone, so rows that
-    repeat an id stay together."""
-    ids = verdicts.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network scores below the threshold. The labels stand beside the corpus."""
-    model = toxicity.fit_model(docs, common.read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score_rows(docs.select(*COLUMNS), model)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
-
-
-def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents share; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component. Texts without words link with nothing and stay,
-    as do rows without an id."""
-    comps = jaccard.jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL")
-    path = common.scratch_dir(spark)
-    return keep(docs, common.maybe_broadcast(common.written(comps.select("doc_id").distinct(), f"{path}/kept")))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.find_contamination(docs, common.read_table(spark, sf_dir, "benchmark"))
-    bad = common.maybe_broadcast(common.written(found.select("doc_id").distinct(), f"{common.scratch_dir(spark)}/bad"))
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_shared_lines),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what its predecessor kept, written and read again in between."""
-    docs, path = common.read_table(spark, sf_dir, "documents"), common.scratch_dir(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.written(docs, f"{path}/{k}_{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
