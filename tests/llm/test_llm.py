@@ -279,7 +279,7 @@ def test_packing(spark):
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
     df = packing.op4_packing(spark, SF).toPandas()
-    for doc in common.read_table(spark, SF, "documents").limit(60).collect():
+    for doc in common.read_table(spark, SF, "documents").collect():
         ids = [*t.encode(doc.text or "", add_special_tokens=False).ids, 0]
         own = df[df.doc_id == doc.doc_id].sort_values("piece")
         assert own.length.sum() == len(ids) and list(own.start) == list(np.cumsum([0, *own.length])[:-1])
@@ -496,6 +496,29 @@ def test_token_counts_equal_the_library():
         assert sum(map(of.__getitem__, token_counts.words_of(text))) == len(t.encode(text).ids)
 
 
+def test_token_count_query_equals_the_library(spark):
+    """The query over all documents, very long words and a full cache."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.Unigram(list(token_counts.vocabulary()), unk_id=0, byte_fallback=False))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always")])
+    texts = {r.doc_id: r.text or "" for r in common.read_table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts.op8_token_counts(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: len(t.encode(x).ids) for i, x in texts.items()}
+    small = token_counts.Counter(token_counts.vocabulary(), most=500, longest=9)
+    r = random.Random(3)
+    for word in ["the" * 4000, *("".join(r.choice("aetion\u00e9\U0001f600") for _ in range(r.randint(1, 300))) for _ in range(300))]:
+        assert small[word] == len(t.encode(word).ids) and small.held <= 600
+
+
+def test_packing_of_repeated_rows_and_places(spark):
+    df = spark.createDataFrame([(7, "the same text of a few words")] * 500 + [(None, None)] * 20 + [(i, "w " * (i % 90)) for i in range(300)], "doc_id long, text string")
+    got = packing.pack(df).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(got) == 820 and (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
+    total, sums = got.length.sum(), got.groupby("sequence_id").length.sum()
+    assert sums.max() <= 2048 and len(sums) == -(-total // 2048)
+
+
 def test_templates_catch_new_numbers_and_names(spark):
     items = spark.createDataFrame([(1, "If Mary Jones has 12 apples and buys 3.5 kg of pears at the market for 20 dollars, how many apples does Mary Jones have now? The end.")], "item_id long, text string")
     same = "x y z. If Tom has 15 apples and buys 4 kg of pears at the market for 21 dollars, how many apples does Tom have now? The end."

@@ -7,7 +7,11 @@ character that is no piece of its own costs the least score less ten, and neighb
 Words are cut at Unicode white space and begin with U+2581. No tokenizer is trained: pieces and their order come from a
 public vocabulary file, and the score of the piece of rank r is -log(r + 1).
 
-Defined results: null and empty texts count 0; repeated rows count each; a null id is kept; extra columns are ignored.
+The dynamic programme keeps no more positions than the longest piece has, so a word of any length takes bounded memory,
+and counts of short words are kept in a cache of a bounded number of characters.
+
+Defined results: null and empty texts count 0; repeated rows count each; a null id is kept, ids are of any type; extra
+columns are ignored; very long texts and words are counted whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.llm.common import read_table
 
@@ -44,36 +49,42 @@ def vocabulary(model: str = MODEL) -> tuple[tuple[str, float], ...]:
 
 
 class Counter(dict):
-    """Number of pieces of each word; a bounded cache, emptied when full."""
+    """Number of pieces of each word; a cache of at most ``most`` characters (and 64 more a word), emptied when full."""
 
-    def __init__(self, vocab: tuple[tuple[str, float], ...], most: int = 400_000):
+    def __init__(self, vocab: tuple[tuple[str, float], ...], most: int = 40_000_000, longest: int = 1000):
         super().__init__()
-        self.most, self.machine = most, ahocorasick.Automaton()
+        self.most, self.longest, self.held, self.machine = most, longest, 0, ahocorasick.Automaton()
         for piece, score in vocab[1:]:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
+        self.width = 1 + max(len(piece) for piece, _ in vocab)
         self.unknown = min(s for _, s in vocab) - UNKNOWN_COST
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
         whole = word if word.startswith(MARK) else MARK + word
-        n = self[word] = sum(map(self.pieces, PARTS.findall(whole))) if MARK in word else self.pieces(whole)
+        n = sum(self.pieces(m[0]) for m in PARTS.finditer(whole)) if MARK in word else self.pieces(whole)
+        if len(word) <= self.longest:
+            self.held += len(word) + 64
+            if self.held > self.most:
+                self.clear()
+                self.held = len(word) + 64
+            self[word] = n
         return n
 
     def pieces(self, word: str) -> int:
         n, at = len(word), 0
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        w = min(n + 1, self.width + 1)  # positions are kept in a ring
+        best, count, unknown = [0.0] * w, [0] * w, [False] * w
         found, single = False, False
 
         def closed(end: int) -> None:
             """The unknown candidate of a position comes last: it starts latest."""
             if not single:
-                s = end - 1
+                s, e = (end - 1) % w, end % w
                 score = best[s] + self.unknown
-                if not found or score > best[end]:
-                    best[end], unknown[end] = score, True
-                    count[end] = count[s] + (not unknown[s])
+                if not found or score > best[e]:
+                    count[e] = count[s] + (not unknown[s])
+                    best[e], unknown[e] = score, True
 
         for end, (length, score) in self.machine.iter(word):
             end += 1
@@ -81,17 +92,17 @@ class Counter(dict):
                 at += 1
                 closed(at)
                 found = single = False
-            s = end - length
+            s, e = (end - length) % w, end % w
             score += best[s]
-            if not found or score > best[end]:
-                best[end], count[end], unknown[end], found = score, count[s] + 1, False, True
+            if not found or score > best[e]:
+                best[e], count[e], unknown[e], found = score, count[s] + 1, False, True
             if length == 1:
                 single = True
         while at < n:
             at += 1
             closed(at)
             found = single = False
-        return count[n]
+        return count[n % w]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -117,8 +128,9 @@ def _count(model: str):
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(id, n_tokens) of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_count(model), "id long, n_tokens long").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType())])
+    return rows.mapInArrow(_count(model), kind).withColumnRenamed("id", id_col)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
