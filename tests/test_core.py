@@ -12,6 +12,7 @@ from tributary import registry
 from tributary.config import Config, EnvSecrets, resolve_secrets
 from tributary.errors import IncompatibleSchemaError, IngestionStartError
 from tributary.functions import avro_codec as codec
+from tributary.functions import avro_compiled as compiled
 from tributary.functions import avro_schema as schemas
 from tributary.functions import schema_registry as registries
 from tributary.operators import avro, cdc, columns, dedup
@@ -231,6 +232,34 @@ def test_avro_schemas_and_codec(spark):
     assert T.StructType.fromJson(json.loads(jvm.dataType().json())) == ours
 
 
+def test_compiled_codec_equals_the_plain_one():
+    r = random.Random(8)
+    s = schemas.parse(RECORD)
+    day = datetime.datetime(2024, 2, 29, tzinfo=datetime.UTC)
+    enc, dec = compiled.encoder(s), compiled.decoder(s, s)
+    newer = schemas.parse({**RECORD, "fields": [RECORD["fields"][11], RECORD["fields"][1] | {"type": "double"}, {"name": "new", "type": "string", "default": "z"}, RECORD["fields"][10]]})
+    narrow = compiled.decoder(s, newer)
+    for _ in range(300):
+        member = r.choice([("member0", True), ("member1", -5), ("member2", 0.25), None])
+        v = {"b": r.random() < 0.5, "i": r.randint(-(2**31), 2**31 - 1), "l": r.choice([None, 0, -1, 2**62]), "s": r.choice([None, "", "\u00e9" * r.randint(1, 200)]),
+             "d": decimal.Decimal(r.randint(-99999, 99999)).scaleb(-3), "x": b"ab", "t": day + datetime.timedelta(milliseconds=r.randint(0, 10**9)), "day": datetime.date(1969, 12, 31),
+             "a": [r.choice([None, 1.5]) for _ in range(r.randint(0, 3))], "m": {f"k{i}": 0.5 for i in range(r.randint(0, 3))},
+             "u": member and {"member0": None, "member1": None, "member2": None, member[0]: member[1]}, "w": r.choice([3, 2**40])}
+        b = enc(v)
+        assert b == codec.encode(s, v) and dec(b) == codec.decode(s, b) == v and narrow(b) == codec.decode(s, b, newer)
+        for cut in (b[:-1], b + b"\0"):
+            with pytest.raises(ValueError):
+                dec(cut)
+    with pytest.raises(ValueError):
+        enc(v | {"i": None})
+    with pytest.raises(IncompatibleSchemaError):
+        compiled.decoder(schemas.parse("string"), schemas.parse("int"))
+    late = compiled.decoder(schemas.parse(["null", "string"]), schemas.parse(["null", "int"]))  # an error for strings alone
+    assert late(b"\0") is None
+    with pytest.raises(IncompatibleSchemaError):
+        late(b"\2\2a")
+
+
 def test_subjects_and_decoder_rules(spark, tmp_path):
     assert registries.subject("topic.name", "t", None, None, True) == "t-key" and registries.subject("topic.record.name", "t", "r", "n", False) == "t-n.r"
     r = registries.FileRegistry(str(tmp_path))

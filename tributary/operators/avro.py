@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from tributary.config import Config
 from tributary.functions import avro_codec as codec
+from tributary.functions import avro_compiled as compiled
 from tributary.functions import avro_schema as schemas
 from tributary.functions import schema_registry as registries
 from tributary.operators.cdc import quoted
@@ -39,7 +40,7 @@ def _decoded(column: str, reader, registry, dt: T.DataType, name: str):
     arrow = to_arrow_type(dt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writers: dict[int, object] = {}
+        decoders: dict[int, Callable] = {}  # compiled once for each schema that was written with
         to = schemas.parse(reader)
         for b in batches:
             out = []
@@ -48,9 +49,9 @@ def _decoded(column: str, reader, registry, dt: T.DataType, name: str):
                     out.append(None)
                     continue
                 n, body = codec.unframe(m)
-                if n not in writers:
-                    writers[n] = schemas.parse(registry.by_id(n))
-                out.append(codec.decode(writers[n], body, to))
+                if n not in decoders:
+                    decoders[n] = compiled.decoder(schemas.parse(registry.by_id(n)), to)
+                out.append(decoders[n](body))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=[*b.schema.names, name])
 
     return run
@@ -118,10 +119,10 @@ class AvroDecoder(Transformer):
 
 def _encoded(schema, schema_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = schemas.parse(schema)
+        encode, head = compiled.encoder(schemas.parse(schema)), codec.frame(schema_id, b"")
         for b in batches:
             rows = b.column(0).to_pylist(maps_as_pydicts="strict")
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([None if r is None else codec.frame(schema_id, codec.encode(s, r)) for r in rows], pa.binary())], names=[*b.schema.names[1:], "__out"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([None if r is None else head + encode(r) for r in rows], pa.binary())], names=[*b.schema.names[1:], "__out"])
 
     return run
 
