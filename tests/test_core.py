@@ -393,3 +393,20 @@ def test_converter_plug_in(spark, tmp_path):
         schemas.converter("decimal.Decimal")
     with pytest.raises(ValueError):
         schemas.converter("nowhere")
+
+
+def test_scaffold_makes_components_that_run(spark, tmp_path, monkeypatch):
+    from tributary.plans.scaffold import scaffold
+
+    root = scaffold(str(tmp_path), "my_parts")
+    monkeypatch.syspath_prepend(str(root))
+    conf = Config.from_file(str(root / "my_parts.properties"))
+    conf = Config({**conf, "writer.my_parts.folder": f"{tmp_path}/out", "writer.common.checkpoint.location": f"{tmp_path}/cp"})
+    pipeline.run(spark, conf)
+    assert spark.read.parquet(f"{tmp_path}/out").columns == ["timestamp", "value", "added"]
+    assert {"MyPartsReader", "MyPartsTransformer", "MyPartsWriter"} <= {c.__name__ for c in registry.discover([str(root / "my_parts")]).values()}
+    for bad in ("no-name", "class"):
+        with pytest.raises(ValueError):
+            scaffold(str(tmp_path), bad)
+    with pytest.raises(ValueError):
+        scaffold(str(tmp_path), "my_parts")
