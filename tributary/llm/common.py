@@ -15,10 +15,12 @@ FILE_ROWS = 250_000
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder inside the cluster's shared checkpoint folder.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (local tests) a folder of our own
-    under ``/tmp/checkpoints`` is taken.
+    The folder is read from ``spark.checkpoint.dir``; only a local master (as in tests) may leave it unset, for which a
+    folder of our own under ``/tmp/checkpoints`` is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
     return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/tributary/{uuid.uuid4().hex}"
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import maybe_broadcast, read_table, scratch_dir, written
+from tributary.llm.common import maybe_broadcast, read_table, removed, scratch_dir, written
 
 # Units that follow a number.
 UNITS = (
@@ -126,6 +126,7 @@ def find_contamination(
     pairs = pairs.join(sizes, ["item", "r"]).withColumn("cover", cover(F.col("matched"), F.col("alike")))
     pairs = pairs.where((F.col("cover") >= min_cover) | (F.col("matched") >= quote))
     pairs = written(pairs, f"{path}/pairs")
+    removed(spark, f"{path}/hits")
     # Slots and quotes: only documents of a candidate pair whose item has slots, or of little cover, are read again.
     slotted = bench.where(F.col("literal") & F.exists("item_words", lambda w: w.rlike("^[\u0001\u0002\u0004]"))).select("item", "r", F.lit(True).alias("slotted")).distinct()
     look = pairs.join(slotted, ["item", "r"], "left").where(F.col("slotted") | (F.col("cover") < min_cover))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import connected_components, maybe_broadcast, read_table, scratch_dir, written
+from tributary.llm.common import connected_components, maybe_broadcast, read_table, removed, scratch_dir, written
 
 TILE, MAX_TILES, SPLIT_ROWS = 4096, 32_768, 20_000
 #: Leading dimensions of the tiles' boxes.
@@ -318,7 +318,10 @@ def _linked(classes: DataFrame, d: int, threshold: float, tile: int, path: str)
     work = tiles.join(pairs, "leaf").withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
     work = work.select(number("home", "to").alias("home"), number("leaf", "block").alias("tile"), "rep", "copies", "vec")
     work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").sortWithinPartitions("home", F.col("tile") != F.col("home"), "tile")
-    return written(work.mapInArrow(_compare(rotation, threshold, steps_of(np.sort(values)[::-1])), "a long, b long, links long"), f"{path}/found")
+    found = written(work.mapInArrow(_compare(rotation, threshold, steps_of(np.sort(values)[::-1])), "a long, b long, links long"), f"{path}/found")
+    for name in ("packed", "tiles", "pairs"):
+        removed(spark, f"{path}/{name}")
+    return found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
