@@ -60,7 +60,8 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, steps=(), partition_by
 
 
 def parquet_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(streamed(spark, sf_dir, "events", [columns.ColumnSelector(["event_id", "user_id", "event_type", "value"]), columns.ColumnRenamer(["value"], ["amount"])]))
+    steps = [columns.ColumnSelector(["event_id", "user_id", "event_type", "value"]), columns.ColumnRenamer(["value"], ["amount"])]
+    return spark.read.parquet(streamed(spark, sf_dir, "events", steps))
 
 
 def parquet_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,8 @@ def rename_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copy_nested_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = columns.ColumnCopier(["c_name", "c_acctbal", "c_custkey", "c_nationkey"], ["info.name", "info.money.balance", "info.`the.key`", "info.name"]).transform(table(spark, sf_dir, "customer"))
+    to = ["info.name", "info.money.balance", "info.`the.key`", "info.name"]
+    df = columns.ColumnCopier(["c_name", "c_acctbal", "c_custkey", "c_nationkey"], to).transform(table(spark, sf_dir, "customer"))
     return df.select("c_custkey", F.col("info.money.balance").alias("balance"), F.col("info.`the.key`").alias("the_key"), F.col("info.name").alias("nation"))
 
 
@@ -92,7 +94,8 @@ def _versions(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
         step = columns.AddDateVersion("2024-02-29", f"{d}/out")
         q = pipeline.start(spark, ParquetReader(f"{d}/in"), [step], ParquetWriter(f"{d}/out", ONCE, f"{d}/checkpoint", ["ingest_date", "ingest_version"]))
         pipeline.finish(q)
-    return spark.read.parquet(f"{d}/out").select("r_regionkey", "r_name", F.col("ingest_date").cast("string").alias("ingest_date"), F.col("ingest_version").cast("int").alias("ingest_version"))
+    added = [F.col("ingest_date").cast("string").alias("ingest_date"), F.col("ingest_version").cast("int").alias("ingest_version")]
+    return spark.read.parquet(f"{d}/out").select("r_regionkey", "r_name", *added)
 
 
 def date_version_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +134,11 @@ def _cdc(spark: SparkSession, sf_dir: str, writer: type, merge: cdc.Merge, parts
     return t.read()
 
 
+INTERVAL = ("CAST(_start_date AS string) AS start_date", "CAST(_end_date AS string) AS end_date", "_is_current AS is_current")
+
+
 def _history(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "event_id", "event_type", F.col("_start_date").cast("string").alias("start_date"), F.col("_end_date").cast("string").alias("end_date"), F.col("_is_current").alias("is_current"))
+    return df.selectExpr("user_id", "event_id", "event_type", *INTERVAL)
 
 
 def snapshot_one_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +168,7 @@ def scd2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = cdc.Merge("o_custkey", "o_orderstatus", ("P",), ("o_orderstatus", "o_orderkey"), {"o_orderstatus": ("O", "F", "P")}, "o_orderdate")
     q = pipeline.start(spark, ParquetReader(f"{sf_dir}/orders*.parquet"), [], HistoryWriter(f"{d}/table", ONCE, f"{d}/checkpoint", m))
     pipeline.finish(q)
-    return VersionedTable(spark, f"{d}/table").read().select("o_custkey", "o_orderkey", F.col("_start_date").cast("string").alias("start_date"), F.col("_end_date").cast("string").alias("end_date"), F.col("_is_current").alias("is_current"))
+    return VersionedTable(spark, f"{d}/table").read().selectExpr("o_custkey", "o_orderkey", *INTERVAL)
 
 
 def _registry(spark: SparkSession) -> schema_registry.FileRegistry:
@@ -201,7 +207,8 @@ def topic_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic.register(spark)
     df = table(spark, sf_dir, "nation")
     avro.AvroEncoder("in", r, Config({})).transform(df).write.format("topic").mode("append").option("path", d).option("topic", "in").save()
-    q = pipeline.start(spark, KafkaReader("in", f"file:{d}", f"{d}/checkpoint"), [columns.ColumnSelector(["key", "value"])], KafkaWriter("out", f"file:{d}", f"{d}/checkpoint", ONCE))
+    reader, writer = KafkaReader("in", f"file:{d}", f"{d}/checkpoint"), KafkaWriter("out", f"file:{d}", f"{d}/checkpoint", ONCE)
+    q = pipeline.start(spark, reader, [columns.ColumnSelector(["key", "value"])], writer)
     pipeline.finish(q)
     return avro.AvroDecoder(r.latest("in-value")[1], r).transform(topic.read_batch(spark, f"file:{d}", "out"))
 
@@ -210,7 +217,8 @@ def uncommitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a partial write left beside a streamed table: how many, and how many the log lists."""
     out = streamed(spark, sf_dir, "region")
     table(spark, sf_dir, "nation").coalesce(1).write.mode("append").parquet(f"{out}/stray=1")
-    return spark.createDataFrame([(len(checkpoint.uncommitted_files(spark, out)), len(checkpoint.committed_files(spark, out)) > 0)], "strays long, has_log boolean")
+    row = (len(checkpoint.uncommitted_files(spark, out)), len(checkpoint.committed_files(spark, out)) > 0)
+    return spark.createDataFrame([row], "strays long, has_log boolean")
 
 
 def _sent(spark: SparkSession, df: DataFrame, d: str, name: str, registry: schema_registry.FileRegistry) -> None:
