@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_packing": packing.op4_packing,
         "op5_chat_format": chat.op5_chat_format,
+        "chat_layouts": chat.chat_layouts,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_token_counts": token_counts.op8_token_counts,
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.SQL,
         "op5_chat_format": chat.SQL,
+        "chat_layouts": chat.LAYOUTS_SQL,
         "op7_jaccard_join": jaccard.SQL,
         "op10_embedding_dedup": embedding.SQL,
     }

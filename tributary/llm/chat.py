@@ -226,6 +226,24 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns_from_rows(rows.unionByName(probe))))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations as JSON records of four layouts (by the id's remainder), recognised, formatted and read back."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL")
+    turns = turns_from_rows(rows).select("conv_id", "turns")
+
+    def record(name: str, field: str, role: str, text: str) -> tuple[Column, str]:
+        said = F.transform("turns", lambda t: F.struct(t.role.alias(role), t.text.alias(text), F.lit(1).alias("weight")))
+        return F.to_json(F.struct(F.col("conv_id").alias("id"), said.alias(field))), name
+
+    parts = F.transform("turns", lambda t: F.struct(t.role.alias("role"), F.array(F.struct(F.lit("text").alias("type"), t.text.alias("text"))).alias("content")))
+    made = [record("messages", "messages", "role", "content"), record("conversations", "conversations", "from", "value"),
+            record("messages_from", "messages", "from", "value"), (F.to_json(F.struct(parts.alias("messages"))), "message_parts")]
+    chosen = made[0][0]
+    for k, (text, _) in enumerate(made):
+        chosen = F.when(F.pmod("conv_id", F.lit(len(made))) == k, text).otherwise(chosen)
+    return read_back(format_turns(canonical_turns(turns.select("conv_id", chosen.alias("record")))))
+
+
 SQL = r"""
 WITH r AS (SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -236,3 +254,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(laid) AS BIGINT) AS formatted_chars, 'rows_role_text' AS layout
 FROM e GROUP BY conv_id
 """
+LAYOUTS_SQL = SQL.replace("UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')", "WHERE conv_id IS NOT NULL").replace(
+    "'rows_role_text' AS layout", "CASE conv_id % 4 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'messages_from' ELSE 'message_parts' END AS layout")
