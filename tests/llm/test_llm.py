@@ -70,6 +70,14 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     assert chat.read_back(chat.format_turns(chat.turns_from_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
 
 
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    df = common.written(spark.range(1000), common.scratch_dir(spark))
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.maybe_broadcast(df)) and not hinted(common.maybe_broadcast(df, 999))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    assert not hinted(common.maybe_broadcast(df))
+
+
 def test_pii_surrogates(spark):
     t = "Mail ann.lee7@mail3.example.com or ANN.LEE7@mail3.example.com, +1 (212) 555-0142, 10.20.30.40, card 4785380592391139 / 4785 3805 9239 1139, IBAN DE89370400440532013000. Mr John Smith, Mrs Smith, Dr. Иван."
     out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows(t, t, "clean text 12"), KIND), b"key").collect()}

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import maybe_broadcast, read_table, removed, scratch_dir, written
+from tributary.llm.common import gathered, maybe_broadcast, read_table, removed, scratch_dir, written
 
 # Units that follow a number.
 UNITS = (
@@ -107,16 +107,16 @@ def find_contamination(
     its = _readings(items, item_col, text_col, "item").withColumn("len", F.least(F.size("w"), F.lit(window))).where("len > 0")
     bench = _windows(its, window).select(
         "item", "r", "len", "h", "literal", F.col("pos").alias("item_pos"), F.slice("w", F.col("pos"), F.col("len")).alias("item_words"))
-    bench = written(bench.distinct(), f"{path}/bench")
+    bench = written(gathered(bench.distinct()), f"{path}/bench")
     lengths = [r[0] for r in bench.select("len").distinct().collect()] or [window]  # at most ``window`` values
-    hashes = maybe_broadcast(written(bench.select("h").distinct(), f"{path}/hashes"))
+    hashes = maybe_broadcast(written(gathered(bench.select("h").distinct()), f"{path}/hashes"))
 
     def exploded(d: DataFrame) -> DataFrame:
         lens = F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths)))
         return _windows(_readings(d, id_col, text_col, "id").withColumn("len", lens), window)
 
     # Every window of every document meets the benchmark's distinct hashes; only hits go on.
-    hits = written(exploded(docs).select("id", "h").join(hashes, "h", "left_semi").distinct(), f"{path}/hits")
+    hits = written(exploded(docs).select("id", "h").join(hashes, "h", "left_semi").distinct().transform(gathered), f"{path}/hits")
     sizes = bench.groupBy("item", "r").agg(
         F.countDistinct("h").alias("windows"), F.countDistinct(F.when(F.col("literal"), F.col("h"))).alias("templates"))
     # New values change every window that is matched with them, so the templates also count by themselves.
@@ -125,12 +125,12 @@ def find_contamination(
         F.count("*").alias("matched"), F.count_if("literal").alias("alike"))
     pairs = pairs.join(sizes, ["item", "r"]).withColumn("cover", cover(F.col("matched"), F.col("alike")))
     pairs = pairs.where((F.col("cover") >= min_cover) | (F.col("matched") >= quote))
-    pairs = written(pairs, f"{path}/pairs")
+    pairs = written(gathered(pairs), f"{path}/pairs")
     removed(spark, f"{path}/hits")
     # Slots and quotes: only documents of a candidate pair whose item has slots, or of little cover, are read again.
     slotted = bench.where(F.col("literal") & F.exists("item_words", lambda w: w.rlike("^[\u0001\u0002\u0004]"))).select("item", "r", F.lit(True).alias("slotted")).distinct()
     look = pairs.join(slotted, ["item", "r"], "left").where(F.col("slotted") | (F.col("cover") < min_cover))
-    look = written(look.select("id", "item", "r"), f"{path}/look")
+    look = written(gathered(look.select("id", "item", "r")), f"{path}/look")
     again = docs.join(maybe_broadcast(look.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
     whole = bench.join(look.select("item", "r").distinct(), ["item", "r"], "left_semi").select("item", "r", "h", "literal", "item_pos", "item_words")
     # The words of a window are cut out before the joins, so no row carries a whole text.
@@ -143,7 +143,7 @@ def find_contamination(
         F.size(F.collect_set("h")).alias("here"), F.size(F.collect_set(F.when(F.col("literal"), F.col("h")))).alias("alike"),
         F.size(F.collect_set(F.when(F.col("item_words") == F.col("words"), F.col("h")))).alias("same"),
         F.array_distinct(F.flatten(F.collect_list(cells))).alias("cells"))
-    aligned = written(aligned, f"{path}/aligned")
+    aligned = written(gathered(aligned), f"{path}/aligned")
     slot = aligned.select("id", "item", "r", F.explode("cells").alias("z")).select("id", "item", "r", "z.a", "z.b").distinct()
     firm = slot.groupBy("id", "item", "r").agg(
         F.countDistinct("a").alias("slots"), F.count("*").alias("links"), F.countDistinct("b").alias("values"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary import fs
-from tributary.llm.common import maybe_broadcast, read_table, removed, scratch_dir, written
+from tributary.llm.common import gathered, maybe_broadcast, read_table, removed, scratch_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -256,7 +256,7 @@ def dedup_lines(
     dealt = line_hashes(docs, id_col, text_col, min_chars).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     dealt.write.partitionBy("part").parquet(f"{path}/lines")
     lines = spark.read.schema(dealt.schema).parquet(f"{path}/lines")
-    repeated = written(repeated_ids(lines), f"{path}/repeated")
+    repeated = written(gathered(repeated_ids(lines)), f"{path}/repeated")
     repeated = maybe_broadcast(repeated) if repeated.take(1) else None
     mine = LineRuns(spark, f"{path}/runs") if runs is None else runs
     for k in range(batches):
