@@ -42,6 +42,20 @@ def test_query_equals_its_sql(spark, name):
     assert order(got).equals(order(want))
 
 
+#: Queries with a registry, a topic or a folder of documents, which go by the scheme of their paths.
+BY_SCHEME = (
+    "avro_keep_columns",
+)
+
+
+@pytest.mark.parametrize("name", BY_SCHEME)
+def test_checkpoint_folder_without_scheme(spark, tmp_path, monkeypatch, name):
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: str(tmp_path) if key == "spark.checkpoint.dir" else get(self, key, *default))
+    test_query_equals_its_sql(spark, name)
+    assert Q.work(spark).startswith(f"file:{tmp_path}/")
+
+
 def test_config():
     c = Config.from_lines(["a.b = x=y ", "# no", "list = p, q", "ref=${a.b}!", "empty=", "my.password=s"])
     assert c["a.b"] == "x=y" and c.list("list") == ["p", "q"] and c["ref"] == "x=y!" and c["empty"] == ""

@@ -14,6 +14,12 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; one that is given without is in the session's default file system."""
+    fs, p = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p)

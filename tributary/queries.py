@@ -40,11 +40,11 @@ AVRO_TYPES = (
 
 def work(spark: SparkSession) -> str:
     """A new folder for sinks, checkpoints, topics and registries: in the shared checkpoint folder, which only a local master
-    may leave unset."""
+    may leave unset. With its scheme, which registries, topics and document sinks go by."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{fs.qualified(spark, base or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
