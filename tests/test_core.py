@@ -45,6 +45,7 @@ def test_query_equals_its_sql(spark, name):
 #: Queries with a registry, a topic or a folder of documents, which go by the scheme of their paths.
 BY_SCHEME = (
     "avro_keep_columns",
+    "avro_roundtrip_value",
 )
 
 
