@@ -46,6 +46,7 @@ def test_query_equals_its_sql(spark, name):
 BY_SCHEME = (
     "avro_keep_columns",
     "avro_roundtrip_value",
+    "naming_strategies",
 )
 
 
