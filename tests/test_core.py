@@ -47,6 +47,7 @@ BY_SCHEME = (
     "avro_keep_columns",
     "avro_roundtrip_value",
     "naming_strategies",
+    "retry_without_dedup",
 )
 
 
