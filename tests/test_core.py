@@ -48,6 +48,7 @@ BY_SCHEME = (
     "avro_roundtrip_value",
     "naming_strategies",
     "retry_without_dedup",
+    "avro_rich_rows",
 )
 
 
