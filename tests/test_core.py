@@ -49,6 +49,7 @@ BY_SCHEME = (
     "naming_strategies",
     "retry_without_dedup",
     "avro_rich_rows",
+    "dedup_after_failed_batch",
 )
 
 
