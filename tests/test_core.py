@@ -50,6 +50,7 @@ BY_SCHEME = (
     "retry_without_dedup",
     "avro_rich_rows",
     "dedup_after_failed_batch",
+    "null_payloads",
 )
 
 
