@@ -51,6 +51,7 @@ BY_SCHEME = (
     "avro_rich_rows",
     "dedup_after_failed_batch",
     "null_payloads",
+    "topic_passthrough",
 )
 
 
