@@ -52,6 +52,7 @@ BY_SCHEME = (
     "dedup_after_failed_batch",
     "null_payloads",
     "topic_passthrough",
+    "avro_roundtrip_keyvalue",
 )
 
 
