@@ -53,6 +53,7 @@ BY_SCHEME = (
     "null_payloads",
     "topic_passthrough",
     "avro_roundtrip_keyvalue",
+    "document_sink",
 )
 
 
