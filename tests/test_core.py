@@ -54,6 +54,7 @@ BY_SCHEME = (
     "topic_passthrough",
     "avro_roundtrip_keyvalue",
     "document_sink",
+    "optional_fields",
 )
 
 
