@@ -698,3 +698,24 @@ def test_filtering_stages_keep_odd_rows(spark, odd):
     for stage, gone in ((pipeline.drop_near_duplicates, {5}), (pipeline.drop_contaminated, set())):
         out = [r.doc_id for r in stage(spark, odd, SF).collect()]
         assert sorted(out, key=str) == sorted([i for i in (1, 2, 3, 4, 4, 5, 6, 7, 8, None) if i not in gone], key=str)
+
+
+def test_toxicity_steps_need_little_more_than_their_results():
+    """The driver trains beside a JVM, so steps over all words are taken a part at a time or in place."""
+    import tracemalloc
+
+    def peak(step, *args):
+        tracemalloc.start()
+        out = step(*args)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    words = [f"w{i}" * 2 for i in range(60_000)]
+    (word, tri, at), most = peak(toxicity.word_features, words)
+    assert most < 3 * (word.nbytes + tri.nbytes + at.nbytes)
+    assert all((a == b).all() for a, b in zip(toxicity.word_features(words[-100:]), (word[-100:], tri[at[-101] :], at[-101:] - at[-101]), strict=True))
+    p = toxicity.init()
+    x, most = peak(toxicity.inputs, p, words)
+    xp, more = peak(toxicity.projections, p, x)
+    assert most < 8 * x.nbytes and more < 1.5 * xp.nbytes
