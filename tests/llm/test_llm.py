@@ -719,3 +719,14 @@ def test_toxicity_steps_need_little_more_than_their_results():
     x, most = peak(toxicity.inputs, p, words)
     xp, more = peak(toxicity.projections, p, x)
     assert most < 8 * x.nbytes and more < 1.5 * xp.nbytes
+
+
+def test_workers_give_arrow_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    freed = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    assert [b.to_pylist() for b in common.lean(iter)(batches)] == [[{"x": i}] for i in range(3)] and len(freed) == 4
+    for stage in (toxicity.score_rows, packing.pack, jaccard.jaccard_components):
+        assert "lean" in stage.__globals__
