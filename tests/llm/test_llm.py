@@ -730,3 +730,22 @@ def test_workers_give_arrow_memory_back(monkeypatch):
     assert [b.to_pylist() for b in common.lean(iter)(batches)] == [[{"x": i}] for i in range(3)] and len(freed) == 4
     for stage in (toxicity.score_rows, packing.pack, jaccard.jaccard_components):
         assert "lean" in stage.__globals__
+
+
+def test_stages_begin_without_garbage(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.collected(spark)
+    assert full() > before
+
+    class Begun(Exception):
+        pass
+
+    def begin(_):
+        raise Begun
+
+    monkeypatch.setattr(common, "collected", begin)
+    for _, stage in pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
